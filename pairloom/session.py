@@ -60,7 +60,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="pairloom-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[5:]
+    elif "://" not in base:
         base = "file://" + os.path.abspath(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

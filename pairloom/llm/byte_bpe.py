@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -29,6 +30,21 @@ from pairloom.llm.tables import id_and_text
 from pairloom.llm.wordcache import ChunkEncoder
 
 
+#: Finished words that a Python worker keeps at most.
+MAX_WORDS = 400_000
+
+
+class _PairRanks(dict):
+    """first id << 32 | second id -> rank of the joined bytes, or -1; computed when first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], pieces: list[bytes]):
+        self._ranks, self._pieces = ranks, pieces
+
+    def __missing__(self, key: int) -> int:
+        rank = self[key] = self._ranks.get(self._pieces[key >> 32] + self._pieces[key & 0xFFFFFFFF], -1)
+        return rank
+
+
 class MergeReplay:
     """Ranks of byte strings, ids equal ranks."""
 
@@ -40,20 +56,14 @@ class MergeReplay:
         self._byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         if -1 in self._byte:
             raise ValueError("the vocabulary lacks single bytes")
-        self._pair: dict[int, int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        found = self._pair.get(key)
-        if found is None:
-            found = self._pair[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
-        return found
+        self._pair = _PairRanks(ranks, self.pieces)
+        self._bytes = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each distinct word, all words replayed together."""
         if len(self._pair) > 2_000_000:
             self._pair.clear()
-        ranks, rank_of, byte = self.ranks, self._rank, self._byte
+        ranks, pair, byte, two = self.ranks, self._pair, self._byte, self._bytes
         out: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
         slots: list[int] = []
         ahead: list[int] = []
@@ -70,10 +80,15 @@ class MergeReplay:
             ahead.append(-1)
             behind.append(-1)
             behind.extend(range(at, at + len(w) - 1))
-            for p in range(at, at + len(w) - 1):
-                r = rank_of(slots[p], slots[p + 1])
+            left = w[0]
+            for p, right in enumerate(w[1:], at):
+                r = two[left << 8 | right]
+                left = right
                 if r >= 0:
-                    index.setdefault(r, []).append(p)
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
         heap = sorted(index)
 
         def replay(rank: int) -> None:
@@ -83,21 +98,23 @@ class MergeReplay:
             found.sort()
             for p in found:
                 q = ahead[p] if slots[p] >= 0 else -1
-                if q < 0 or rank_of(slots[p], slots[q]) != rank:
+                if q < 0 or pair[slots[p] << 32 | slots[q]] != rank:
                     continue
                 after, before = ahead[q], behind[p]
                 slots[p], slots[q], ahead[p] = rank, -1, after
                 if after >= 0:
                     behind[after] = p
-                    note(rank_of(rank, slots[after]), p)
+                    r = pair[rank << 32 | slots[after]]
+                    if r >= 0:
+                        note(r, p)
                 if before >= 0:
-                    note(rank_of(slots[before], rank), before)
+                    r = pair[slots[before] << 32 | rank]
+                    if r >= 0:
+                        note(r, before)
                 while heap and heap[0] < rank:
                     replay(heappop(heap))
 
         def note(rank: int, p: int) -> None:
-            if rank < 0:
-                return
             if rank in index:
                 index[rank].append(p)
             else:
@@ -127,10 +144,15 @@ def replay_encoder(path: str, pattern: str) -> tuple[MergeReplay, ChunkEncoder]:
         replay = MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
     split = regex.compile(pattern).findall
 
+    known: dict[str, bytes] = {}
+
     def encode_many(chunks: list[str]) -> Iterator[bytes]:
         cut = [split(c) for c in chunks]
-        distinct = list(set().union(*cut))
-        known = {w: np.asarray(ids, "<u4").tobytes() for w, ids in zip(distinct, replay.encode_words([w.encode() for w in distinct]))}
+        wanted = set().union(*cut)
+        if len(known) + len(wanted) > MAX_WORDS:
+            known.clear()
+        distinct = [w for w in wanted if w not in known]
+        known.update(zip(distinct, (array("I", ids).tobytes() for ids in replay.encode_words([w.encode() for w in distinct]))))
         return (b"".join([known[w] for w in c]) for c in cut)
 
     return replay, ChunkEncoder(encode_many)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import exact_dedup, token_store
+from pairloom.llm import byte_bpe, exact_dedup, media, token_store, toxicity
 from pairloom.llm.tables import table
 from pairloom.llm.tokenizer_files import public_path
 
@@ -18,3 +18,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = token_store.tokenize_to_files(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
     return token_store.read_tokens(spark, folder, manifest)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.to_media(table(spark, sf_dir, "documents")))
+    coded = F.array_join(F.transform("fingerprint", lambda x: x.cast("string")), ",")
+    return read.withColumn("feature", F.concat_ws(":", F.size("fingerprint").cast("string"), F.md5(coded))).drop("fingerprint")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)

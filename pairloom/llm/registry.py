@@ -6,7 +6,10 @@ from pairloom.llm import queries as q
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
+    "op2_toxicity": q.op2_toxicity,
+    "op3_media": q.op3_media,
     "op4_token_store": q.op4_token_store,
+    "op7_byte_bpe": q.op7_byte_bpe,
 }
 
 ORACLES = {

@@ -27,10 +27,19 @@ def cut_at_lone_spaces(text: str) -> list[str]:
     return text.split(" ")
 
 
+#: Python's split() also cuts at these controls, which Unicode doesn't call white space.
+_NOT_SPACE = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+
+
+def words_between_spaces(text: str) -> list[str]:
+    return [w for w in _SPACE.split(text) if w] if _NOT_SPACE.search(text) else text.split()
+
+
 class ChunkEncoder:
     """chunk -> little-endian bytes of its ids; at most max_entries are kept at a time."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], max_entries: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], max_entries: int = 800_000):
         self._encode_many, self._max = encode_many, max_entries
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -58,7 +67,7 @@ class ChunkEncoder:
     def encode_words(self, texts: list[str]) -> Iterable[bytes]:
         """For splitters that drop white space: words stand alone."""
         for block in blocks_of(texts):
-            cut = [t.split() for t in block]
+            cut = [words_between_spaces(t) for t in block]
             self._fill(self.first, set().union(*cut), "")
             known = self.first
             for c in cut:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import byte_bpe, exact_dedup, media, token_store, toxicity
+from pairloom.llm import byte_bpe, exact_dedup, media, near_dedup, token_store, toxicity
 from pairloom.llm.tables import table
 from pairloom.llm.tokenizer_files import public_path
 
@@ -36,3 +36,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("h")

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media": q.op3_media,
     "op4_token_store": q.op4_token_store,
     "op7_byte_bpe": q.op7_byte_bpe,
+    "op8_near_dedup": q.op8_near_dedup,
 }
 
 ORACLES = {

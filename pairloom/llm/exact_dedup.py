@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.joins import by_keys
 from pairloom.llm.tables import BLANKS, id_and_text, ids_last
 from pairloom.session import materialize
 
@@ -60,9 +61,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The survivors with all their columns: one row of each group, a repeated row included."""
-    ranked = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    keep = exact_groups(docs).filter("kept").select("doc_id", "digest").distinct()
-    bare = F.regexp_replace("__text", BLANKS, "")
-    marked = ranked.withColumn("__digest", F.sha2(bare.cast("binary"), 256)).alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__digest") == F.col("k.digest")), "left_semi")
-    return marked.dropDuplicates(["doc_id", "__digest"]).drop("__text", "__digest")
+    """The survivors with all their columns: one row of each group.
+
+    Rows that go are found by doc_id and digest; a survivor that is repeated with its doc_id is
+    reduced to one row, which costs a shuffle of such rows alone.
+    """
+    groups = materialize(exact_groups(docs).select("doc_id", "digest", "kept"), "groups")
+    pairs = groups.groupBy(ids_last(F.col("doc_id")).alias("__id"), F.col("digest").alias("__digest")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    pairs = materialize(pairs.filter("NOT stays OR n > 1"), "goners")
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, "")
+    keyed = docs.withColumn("__id", ids_last(F.col("doc_id").cast("long"))).withColumn("__digest", F.sha2(bare.cast("binary"), 256))
+    on = ["__id", "__digest"]
+    rest = by_keys(keyed, pairs.select(*on), on, "left_anti")
+    repeated = pairs.filter("stays AND n > 1").select(*on)
+    if not repeated.isEmpty():
+        longest = F.char_length(F.coalesce("text", F.lit("")))
+        own = by_keys(keyed, repeated, on).withColumn("__longest", longest)
+        best = own.groupBy(*on).agg(F.max_by(F.struct(*docs.columns), "__longest").alias("__best"))
+        rest = rest.select(*docs.columns).union(best.select("__best.*"))
+    return rest.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import byte_bpe, exact_dedup, media, near_dedup, token_store, toxicity
+from pairloom.llm import byte_bpe, exact_dedup, html_text, licences, media, near_dedup, packing, secrets, token_store, toxicity
 from pairloom.llm.tables import table
 from pairloom.llm.tokenizer_files import public_path
 
@@ -40,3 +40,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("h")
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_digest(licences.scan_licences(table(spark, sf_dir, "documents")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secret_digest(secrets.scan_secrets(docs, secrets.train(docs)))

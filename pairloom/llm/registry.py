@@ -9,8 +9,12 @@ QUERIES = {
     "op2_toxicity": q.op2_toxicity,
     "op3_media": q.op3_media,
     "op4_token_store": q.op4_token_store,
+    "op5_licences": q.op5_licences,
+    "op6_html_text": q.op6_html_text,
     "op7_byte_bpe": q.op7_byte_bpe,
     "op8_near_dedup": q.op8_near_dedup,
+    "op9_secrets": q.op9_secrets,
+    "op10_packing": q.op10_packing,
 }
 
 ORACLES = {

@@ -30,8 +30,10 @@ from pairloom.llm.words import IDENTITY, LETTERS, LOWER, Words, buffers, code_po
 
 BITS = 20
 PREFIXES = (3, 4, 5)
-MAX_DOCS = 6000
+MAX_DOCS = 4500
 FOLDS = 5
+#: Steps of the optimiser in each phase, at least.
+MIN_STEPS = 120
 #: Score of a toxic token of which nothing is known: rare enough that a text of 100,000 unknown words stays clean.
 PRIOR = -13.0
 
@@ -104,13 +106,15 @@ class ToxicModel:
         return out
 
 
-def _associations(index: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least: float = 24.0) -> np.ndarray:
+def _associations(blocks: list[tuple], n_bad: int, n_good: int, least: float = 24.0) -> np.ndarray:
     """Features that toxic documents have significantly more often: G of the 2 x 2 table of documents over `least`, and a rate ten times the clean one's."""
-    width, n_bad, n_good = 1 << BITS, int(toxic.sum()), int((~toxic).sum())
-    seen = np.unique((rows[:, None] * width + index).ravel())
-    feature, own = seen % width, toxic[seen // width]
-    bad = np.bincount(feature[own], minlength=width).astype(float)
-    good = np.bincount(feature[~own], minlength=width).astype(float)
+    width = 1 << BITS
+    bad, good = np.zeros(width, np.float32), np.zeros(width, np.float32)
+    for index, rows, _, own, _ in blocks:
+        seen = np.unique((rows[:, None] * width + index).ravel())
+        feature, toxic = seen % width, own[seen // width]
+        bad += np.bincount(feature[toxic], minlength=width).astype(np.float32)
+        good += np.bincount(feature[~toxic], minlength=width).astype(np.float32)
     share = n_bad / (n_bad + n_good)
     both = np.maximum(bad + good, 1)
     g = 2 * (bad * np.log(np.maximum(bad, 1) / (both * share)) + good * np.log(np.maximum(good, 1) / (both * (1 - share))))
@@ -137,7 +141,7 @@ def _first_of_copies(texts: list[str]) -> list[int]:
     return kept
 
 
-def fit(texts: list[str], labels: list[int], label_epochs: int = 4, bag_epochs: int = 5, block_bytes: int = 1_000_000) -> ToxicModel:
+def fit(texts: list[str], labels: list[int], label_epochs: int = 4, bag_epochs: int = 5, block_bytes: int = 400_000) -> ToxicModel:
     """Fits on the driver; memory is bounded by the blocks and the bounded sample."""
     model = ToxicModel()
     kept = _first_of_copies(texts)
@@ -152,11 +156,13 @@ def fit(texts: list[str], labels: list[int], label_epochs: int = 4, bag_epochs:
         if len(words.starts):
             first = np.zeros(len(words.starts), bool)
             first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
-            blocks.append((features(words).astype(np.int32), words.rows, first, toxic[a:b], words.bounds, a))
-    marks = _associations(np.concatenate([x[0] for x in blocks]).astype(np.int64), np.concatenate([x[1] + x[5] for x in blocks]), toxic)
+            blocks.append((features(words).astype(np.int32), words.rows, first, toxic[a:b], words.bounds))
+    marks = _associations(blocks, int(toxic.sum()), int((~toxic).sum()))
     optimiser, slow = Adagrad(0.5), Adagrad(0.05)
+    # Few blocks take more rounds, so that small corpora see as many steps.
+    label_epochs, bag_epochs = (max(n, -(-MIN_STEPS // max(1, len(blocks)))) for n in (label_epochs, bag_epochs))
     for epoch in range(label_epochs + bag_epochs):
-        for index, rows, first, own, bounds, _ in blocks:
+        for index, rows, first, own, bounds in blocks:
             index = index.astype(np.int64)
             gamma, pair, logs = model.chain(index, first).expectations()
             bad = own[rows]
@@ -168,7 +174,7 @@ def fit(texts: list[str], labels: list[int], label_epochs: int = 4, bag_epochs:
                 joint[first] = 0
             else:
                 p_clean = np.exp(model.clean_log_probability(logs, bounds))
-                share = np.where(own, np.minimum(50.0, 1 / np.maximum(1e-9, 1 - p_clean)), 0.0)[rows]
+                share = np.where(own, 1 / np.maximum(1e-9, 1 - p_clean), 0.0)[rows]
                 target, joint = np.minimum(1.0, gamma[:, 1] * share), pair * share[:, None, None]
             slope = target - gamma[:, 1]
             gradient = np.zeros(1 << BITS, np.float32)
@@ -216,3 +222,17 @@ def score(docs: DataFrame, model: ToxicModel, spans: bool = False) -> DataFrame:
 
     schema = "doc_id long, score double" + ", spans array<struct<start:long,end:long,p:double>>" * spans
     return id_and_text(docs).mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFrame:
+    """docs without the rows that score at least `least`; columns and other rows stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(at).fill_null(""))
+            for a, b in row_blocks(offsets):
+                yield batch.slice(a, b - a).filter(pa.array(shared.value.scores(data, offsets[a : b + 1]) < least))
+
+    return docs.mapInArrow(run, docs.schema)

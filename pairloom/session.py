@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -57,7 +59,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="pairloom-ckpt-")
+        own = tempfile.mkdtemp(prefix="pairloom-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     if base.startswith("file:/") and not base.startswith("file://"):

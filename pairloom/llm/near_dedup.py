@@ -4,14 +4,14 @@ A text's set is its distinct five-word shingles (words: runs of anything but [\x
 lower-cased); with fewer words the whole sequence is one; without words it is empty and
 linked with nothing. Texts are linked where 100 |A n B| >= 85 |A u B|.
 
-1. One pass over whole texts gives each row n, a 128-bit key of its set, and 96 HyperMinHash
-   registers: the bucket's smallest hash kept as 6 bits of leading zeros and 10 of mantissa.
+1. One pass over whole texts gives each row n, a 128-bit key of its set, and 192 HyperMinHash
+   registers: the bucket's smallest hash kept as 5 bits of leading zeros and 5 of mantissa.
    Empty registers copy others by a fixed rule (optimal densification), so small sets band too.
 2. Rows with the same key are one class; thousands of copies become one node.
-3. Four registers make a band, 24 bands. A pair at the threshold shares one but for
-   (1 - 0.85^4)^24 = 2e-8 of cases. In each bucket every member is paired with the bucket's
+3. Six registers make a band (one long), 32 bands. A pair at the threshold shares one but for
+   (1 - 0.85^6)^32 = 3e-7 of cases. In each bucket every member is paired with the bucket's
    most central node alone (the one that meets most others over all bands): a star, not all pairs.
-4. Pairs whose collision-corrected Jaccard estimate is over 0.69, five standard errors below the
+4. Pairs whose collision-corrected Jaccard estimate is over 0.72, five standard errors below the
    threshold (or with a set of at most 64, where estimates are coarse), are verified on the
    full sets; texts stream past their centre, and busy centres are salted.
 5. Verified links give components. A bucket that still holds several components is compared in
@@ -39,12 +39,13 @@ from pairloom.llm.words import NOT_BLANK, buffers, mix, row_blocks, words_of
 from pairloom.session import materialize
 
 SHINGLE = 5
-REGISTERS, BAND = 96, 4
+REGISTERS, BAND = 192, 6
 BANDS = REGISTERS // BAND
-MANTISSA = 10
+ZEROS, MANTISSA = 5, 5
+WIDTH = ZEROS + MANTISSA
 PERCENT = 85
 #: Estimates below this are not verified, for sets over SMALL.
-LEAST_ESTIMATE, SMALL = 0.69, 64
+LEAST_ESTIMATE, SMALL = 0.72, 64
 #: Members of a bucket outside its largest component that are compared at a time, and rows they are compared with in a task.
 BLOCK, SPAN = 512, 8192
 STAR = 256
@@ -95,7 +96,7 @@ _FILL = _fill_rule()
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, REGISTERS) u16 codes; rows of empty sets are 0."""
+    """(texts, BANDS) longs, each of BAND register codes; rows of empty sets are 0."""
     n = len(bounds) - 1
     rows = np.repeat(np.arange(n), np.diff(bounds))
     bucket = ((values >> np.uint64(40)) * np.uint64(REGISTERS) >> np.uint64(24)).astype(np.int64)
@@ -112,7 +113,7 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         rest = np.where(big, rest >> np.uint64(step), rest)
     zeros = np.uint64(63) - top
     mantissa = ((least << zeros) << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    codes = (zeros << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
+    codes = (np.minimum(zeros, np.uint64((1 << ZEROS) - 1)) << np.uint64(MANTISSA) | mantissa).astype(np.int64)
     out = codes.copy()
     todo_row, todo_reg = np.nonzero(empty & (np.diff(bounds) > 0)[:, None])
     for attempt in range(len(_FILL) + REGISTERS):
@@ -123,13 +124,19 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         out[todo_row[good], todo_reg[good]] = codes[todo_row[good], source[good]]
         todo_row, todo_reg = todo_row[~good], todo_reg[~good]
     out[np.diff(bounds) == 0] = 0
-    return out
+    return (out.reshape(n, BANDS, BAND) << (WIDTH * np.arange(BAND))).sum(axis=2)
+
+
+def registers(bands: np.ndarray) -> np.ndarray:
+    """(texts, REGISTERS) u16 codes of packed bands."""
+    return ((bands[:, :, None] >> (WIDTH * np.arange(BAND))) & ((1 << WIDTH) - 1)).astype(np.uint16).reshape(len(bands), REGISTERS)
 
 
 def collision_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The chance that registers of disjoint sets agree: same leading zeros, and then all mantissa bits."""
-    level = np.arange(0, 40)
+    level = np.arange(0, 1 << ZEROS)
     below = 1.0 - 2.0 ** -(level + 1.0)
+    below[-1] = 1.0
     upper = lambda n: below ** np.maximum(1.0, n / REGISTERS)[:, None]  # noqa: E731  P(most leading zeros <= level)
     p, q = np.diff(upper(n_a), prepend=0, axis=1), np.diff(upper(n_b), prepend=0, axis=1)
     return (p * q).sum(axis=1) * 2.0**-MANTISSA
@@ -162,7 +169,7 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
                     one = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + _GOLD))])
                     two = np.concatenate([[np.uint64(0)], np.cumsum(mix(values * _GOLD ^ np.uint64(77)))])
                     hi, lo = one[bounds[1:]] - one[bounds[:-1]], two[bounds[1:]] - two[bounds[:-1]]
-                bands = sketches(values, bounds).view(np.int64)
+                bands = sketches(values, bounds)
                 packed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), packed], names)
@@ -171,10 +178,8 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
     return materialize(keyed.mapInArrow(run, "row long, doc_id long, h long, n long, hi long, lo long, bands array<long>"), "sketches")
 
 
-def _registers(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint16).reshape(-1, REGISTERS)
+def _bands(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -184,7 +189,7 @@ def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 size = [batch.column(i).to_numpy() for i in (2, 4)]
-                good = worth_verifying(_registers(batch.column(3)), _registers(batch.column(5)), *size)
+                good = worth_verifying(registers(_bands(batch.column(3))), registers(_bands(batch.column(5))), *size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"bands_{k}"))
@@ -266,8 +271,8 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
                 continue
             keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
             kind, node, root, n = (batch.column(i).to_numpy() for i in range(4, 8))
-            codes = _registers(batch.column(8))
-            bands = codes.view(np.int64)
+            bands = _bands(batch.column(8))
+            codes = registers(bands)
             cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
             left, right = [], []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):

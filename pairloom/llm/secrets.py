@@ -41,6 +41,8 @@ BITS = 18
 MIN_CHARS = 8
 MAX_DOCS, SCAN_DOCS = 3000, 60_000
 _NEVER = -40.0
+#: Steps of the optimiser, at least.
+MIN_STEPS = 80
 
 
 def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, str, int, int]]]:
@@ -185,7 +187,8 @@ def fit(texts: list[str], epochs: int = 8) -> SecretModel:
         return model
     model.fitted = True
     optimiser, slow, width = Adagrad(0.3), Adagrad(0.1), 1 << BITS
-    for _ in range(epochs):
+    # Few blocks take more rounds, so that small corpora see as many steps.
+    for _ in range(max(epochs, -(-MIN_STEPS // len(blocks)))):
         for index, first, label in blocks:
             index = index.astype(np.int64)
             gamma, pair, _ = Chain(model.emissions(index), first, model.start, model.trans).expectations()

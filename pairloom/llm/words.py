@@ -101,7 +101,12 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, step: int = 200_000) -> np.ndarray:
-    """A hash of each span's bytes, a bounded number of spans at a time."""
+    """A hash of each span's bytes, a bounded number of spans at a time; 0 for empty spans."""
+    full = ends > starts
+    if not full.all():
+        out = np.zeros(len(starts), np.uint64)
+        out[full] = hash_spans(data, starts[full], ends[full], salt, step)
+        return out
     if len(starts) <= step:
         return _hash_spans(data, starts, ends, salt)
     return np.concatenate([_hash_spans(data, starts[i : i + step], ends[i : i + step], salt) for i in range(0, len(starts), step)])

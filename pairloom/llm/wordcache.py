@@ -9,22 +9,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
-#: A space with white space beside it; a text without one is cut at every space.
-_BESIDE_BLANK = re.compile(r" \s|\s ")
+#: Two characters of white space in a row; a text without them is cut at every space and line feed.
+_TWO_BLANKS = re.compile(r"\s\s")
 #: A space between two characters that aren't white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def cut_at_lone_spaces(text: str) -> list[str]:
-    """Chunks of the text; the space before each chunk but the first is left out.
+def cut_in_lines(text: str) -> list[list[str]]:
+    """Lines of chunks; the line feed between lines and the space before each chunk but a line's first are left out.
 
     For patterns in which a space occurs only as the first character of a piece or inside a
-    run of white space, a piece always ends before a lone space.
+    run of white space, a piece always ends before a lone space, and a lone line feed is a piece of its own.
     """
-    if text[:1].isspace() or text[-1:].isspace() or _BESIDE_BLANK.search(text):
-        return _LONE_SPACE.split(text)
-    return text.split(" ")
+    if text[:1].isspace() or text[-1:].isspace() or _TWO_BLANKS.search(text):
+        return [_LONE_SPACE.split(text)]
+    return [line.split(" ") for line in text.split("\n")]
 
 
 #: Python's split() also cuts at these controls, which Unicode doesn't call white space.
@@ -36,45 +37,72 @@ def words_between_spaces(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _NOT_SPACE.search(text) else text.split()
 
 
-class ChunkEncoder:
-    """chunk -> little-endian bytes of its ids; at most max_entries are kept at a time."""
+_MARKS = (",", ".")
+
+
+class _Memo:
+    """Two generations of at most n entries each: what was used in the last generation survives the next change."""
+
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], lead: str, n: int):
+        self._encode_many, self._lead, self._n = encode_many, lead, n
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
+
+    def look_up(self, rows: list[list[str]]) -> dict[str, bytes]:
+        """The ids of each chunk of the rows. The large memo is asked once a distinct chunk; the small result stays near the processor."""
+        if len(self._young) > self._n:
+            self._young, self._old = {}, self._young
+        out = dict.fromkeys(chain.from_iterable(rows))
+        keys = list(out)
+        out = dict(zip(keys, map(self._young.get, keys)))
+        lacking = [x for x, ids in out.items() if ids is None]
+        fresh = {x: ids for x, ids in zip(lacking, map(self._old.get, lacking)) if ids is not None}
+        missing = [x for x in lacking if x not in fresh]
+        # After a letter a last comma or full stop is a piece of its own: such a chunk is its word and that mark.
+        marked = {x: x[:-1] for x in missing if x[-1:] in _MARKS and x[-2:-1].isalpha()}
+        known = {w: self._young.get(w) or self._old.get(w) for w in marked.values()}
+        wanted = [w for w in dict.fromkeys(marked.get(x, x) for x in missing) if not known.get(w)]
+        known.update(zip(wanted, self._encode_many([self._lead + x for x in wanted])))
+        fresh.update((x, known[marked[x]] + self.mark(x[-1]) if x in marked else known[x]) for x in missing)
+        self._young.update(fresh)
+        out.update(fresh)
+        return out
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self._marks:
+            (self._marks[mark],) = self._encode_many([mark])
+        return self._marks[mark]
+
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], max_entries: int = 800_000):
-        self._encode_many, self._max = encode_many, max_entries
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+class ChunkEncoder:
+    """Chunks to little-endian bytes of their ids, about twice max_entries kept at a time."""
 
-    def _fill(self, known: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        if len(known) + len(wanted) > self._max:
-            known.clear()
-        missing = [x for x in wanted if x not in known]
-        if missing:
-            known.update(zip(missing, self._encode_many([lead + x for x in missing])))
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], max_entries: int = 400_000):
+        self._first = _Memo(encode_many, "", max_entries // 4)
+        self._later = _Memo(encode_many, " ", max_entries)
+        self._words = _Memo(encode_many, "", max_entries)
 
     def encode_spaced(self, texts: list[str]) -> Iterable[bytes]:
         """For splitters that hang a space to the word after it."""
         for block in blocks_of(texts):
-            cut = [cut_at_lone_spaces(t) for t in block]
-            if len(self.first) + len(self.later) > self._max:
-                self.first.clear()
-                self.later.clear()
-            self._fill(self.first, {c[0] for c in cut}, "")
-            self._fill(self.later, set().union(*(c[1:] for c in cut)), " ")
-            first, later = self.first, self.later
-            for c in cut:
-                yield first[c[0]] + b"".join([later[x] for x in c[1:]])
+            cut = [cut_in_lines(t) for t in block]
+            heads = [[line.pop(0) for line in lines] for lines in cut]
+            first, later = self._first.look_up(heads), self._later.look_up(list(chain.from_iterable(cut)))
+            feed = self._first.mark("\n")
+            for own, lines in zip(heads, cut):
+                yield feed.join([first[h] + b"".join(map(later.__getitem__, line)) for h, line in zip(own, lines)])
 
     def encode_words(self, texts: list[str]) -> Iterable[bytes]:
         """For splitters that drop white space: words stand alone."""
         for block in blocks_of(texts):
             cut = [words_between_spaces(t) for t in block]
-            self._fill(self.first, set().union(*cut), "")
-            known = self.first
+            known = self._words.look_up(cut)
             for c in cut:
-                yield b"".join([known[x] for x in c])
+                yield b"".join(map(known.__getitem__, c))
 
 
-def blocks_of(texts: list[str], chars: int = 1_000_000) -> Iterable[list[str]]:
+def blocks_of(texts: list[str], chars: int = 2_000_000) -> Iterable[list[str]]:
     """Blocks of bounded size; a longer text makes a block of its own."""
     block, size = [], 0
     for t in texts:

@@ -24,8 +24,8 @@ def drop_exact_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each near-duplicate group stays; five-word Jaccard of 0.8 or more links."""
+    return near_dedup.drop_near_copies(docs, percent=80)
 
 
 def redact_secrets(spark, docs, sf_dir):

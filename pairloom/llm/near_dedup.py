@@ -2,18 +2,20 @@ r"""Near-duplicate classes by HyperMinHash sketches, banding and exact verificat
 
 A text's set is its distinct five-word shingles (words: runs of anything but [\x20\x09-\x0D], A-Z
 lower-cased); with fewer words the whole sequence is one; without words it is empty and
-linked with nothing. Texts are linked where 100 |A n B| >= 85 |A u B|.
+linked with nothing. Texts are linked where 100 |A n B| >= percent |A u B|; percent is a
+parameter, 85 for the query. Cut derives bands and estimate bound from it.
 
-1. One pass over whole texts gives each row n, a 128-bit key of its set, and 192 HyperMinHash
+1. One pass over whole texts gives each row n, a 128-bit key of its set, and up to 192 HyperMinHash
    registers: the bucket's smallest hash kept as 5 bits of leading zeros and 5 of mantissa.
    Empty registers copy others by a fixed rule (optimal densification), so small sets band too.
 2. Rows with the same key are one class; thousands of copies become one node.
-3. Six registers make a band (one long), 32 bands. A pair at the threshold shares one but for
-   (1 - 0.85^6)^32 = 3e-7 of cases. In each bucket every member is paired with the bucket's
+3. Registers make bands (one long each), as wide as leaves at most one pair in a million at the
+   threshold without a shared one: 32 of six at 85, (1 - 0.85^6)^32 = 3e-7; 38 of five at 80,
+   (1 - 0.8^5)^38 = 3e-7. In each bucket every member is paired with the bucket's
    most central node alone (the one that meets most others over all bands): a star, not all pairs.
-4. Pairs whose collision-corrected Jaccard estimate is over 0.72, five standard errors below the
-   threshold (or with a set of at most 64, where estimates are coarse), are verified on the
-   full sets; texts stream past their centre, and busy centres are salted.
+4. Pairs whose collision-corrected Jaccard estimate is at most five standard errors below the
+   threshold, 0.72 for 85 and 0.65 for 80 (or with a set of at most 64, where estimates are
+   coarse), are verified on the full sets; texts stream past their centre, and busy centres are salted.
 5. Verified links give components. A bucket that still holds several components is compared in
    blocks: the members outside its largest component, against all, by sketches; only pairs across
    components that pass the estimate are verified. So no link between texts of different
@@ -25,7 +27,10 @@ give a null component_id only where no other id is in reach.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +44,13 @@ from pairloom.llm.words import NOT_BLANK, buffers, mix, row_blocks, words_of
 from pairloom.session import materialize
 
 SHINGLE = 5
-REGISTERS, BAND = 192, 6
-BANDS = REGISTERS // BAND
+MOST_REGISTERS, WIDEST = 192, 6
 ZEROS, MANTISSA = 5, 5
 WIDTH = ZEROS + MANTISSA
-PERCENT = 85
-#: Estimates below this are not verified, for sets over SMALL.
-LEAST_ESTIMATE, SMALL = 0.72, 64
+#: Sets up to this size are verified whatever their estimate.
+SMALL = 64
+#: Share of pairs at the threshold that may meet in no band, and standard errors an estimate may be below it.
+MISSED, ERRORS = 1e-6, 5
 #: Members of a bucket outside its largest component that are compared at a time, and rows they are compared with in a task.
 BLOCK, SPAN = 512, 8192
 STAR = 256
@@ -53,6 +58,36 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@dataclass(frozen=True)
+class Cut:
+    """A Jaccard threshold in percent, with what follows from it."""
+
+    percent: int
+
+    @property
+    def band(self) -> int:
+        """Registers in a band."""
+        t = self.percent / 100
+        return next((k for k in range(WIDEST, 1, -1) if (1 - t**k) ** (MOST_REGISTERS // k) <= MISSED), 1)
+
+    @property
+    def bands(self) -> int:
+        return MOST_REGISTERS // self.band
+
+    @property
+    def registers(self) -> int:
+        return self.band * self.bands
+
+    @property
+    def least_estimate(self) -> float:
+        """Estimates below this are not verified, for sets over SMALL."""
+        t = self.percent / 100
+        return math.floor(100 * (t - ERRORS * math.sqrt(t * (1 - t) / self.registers))) / 100
+
+
+QUERY = Cut(85)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): each text's distinct shingle hashes in ascending order."""
     words = words_of(data, offsets, NOT_BLANK)
@@ -86,23 +121,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return values, np.searchsorted(own, np.arange(len(counts) + 1))
 
 
-def _fill_rule() -> np.ndarray:
+@lru_cache
+def _fill_rule(registers: int) -> np.ndarray:
     """For each attempt and register, the register that is copied."""
-    at = np.arange(64, dtype=np.uint64)[:, None] * np.uint64(1009) + np.arange(REGISTERS, dtype=np.uint64)
-    return (mix(at * _GOLD) % np.uint64(REGISTERS)).astype(np.int64)
-
-
-_FILL = _fill_rule()
+    at = np.arange(64, dtype=np.uint64)[:, None] * np.uint64(1009) + np.arange(registers, dtype=np.uint64)
+    return (mix(at * _GOLD) % np.uint64(registers)).astype(np.int64)
 
 
-def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) longs, each of BAND register codes; rows of empty sets are 0."""
-    n = len(bounds) - 1
+def sketches(values: np.ndarray, bounds: np.ndarray, cut: Cut = QUERY) -> np.ndarray:
+    """(texts, cut.bands) longs, each of cut.band register codes; rows of empty sets are 0."""
+    n, size, fill = len(bounds) - 1, cut.registers, _fill_rule(cut.registers)
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    bucket = ((values >> np.uint64(40)) * np.uint64(REGISTERS) >> np.uint64(24)).astype(np.int64)
-    least = np.full(n * REGISTERS, _FULL)
-    np.minimum.at(least, rows * REGISTERS + bucket, mix(values ^ _GOLD) | np.uint64(1))
-    least = least.reshape(n, REGISTERS)
+    bucket = ((values >> np.uint64(40)) * np.uint64(size) >> np.uint64(24)).astype(np.int64)
+    least = np.full(n * size, _FULL)
+    np.minimum.at(least, rows * size + bucket, mix(values ^ _GOLD) | np.uint64(1))
+    least = least.reshape(n, size)
     empty = least == _FULL
     # The leading one's place, exact for all 64 bits.
     top = np.zeros(least.shape, np.uint64)
@@ -116,45 +149,45 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     codes = (np.minimum(zeros, np.uint64((1 << ZEROS) - 1)) << np.uint64(MANTISSA) | mantissa).astype(np.int64)
     out = codes.copy()
     todo_row, todo_reg = np.nonzero(empty & (np.diff(bounds) > 0)[:, None])
-    for attempt in range(len(_FILL) + REGISTERS):
+    for attempt in range(len(fill) + size):
         if not len(todo_row):
             break
-        source = _FILL[attempt][todo_reg] if attempt < len(_FILL) else (todo_reg + attempt - len(_FILL) + 1) % REGISTERS
+        source = fill[attempt][todo_reg] if attempt < len(fill) else (todo_reg + attempt - len(fill) + 1) % size
         good = ~empty[todo_row, source]
         out[todo_row[good], todo_reg[good]] = codes[todo_row[good], source[good]]
         todo_row, todo_reg = todo_row[~good], todo_reg[~good]
     out[np.diff(bounds) == 0] = 0
-    return (out.reshape(n, BANDS, BAND) << (WIDTH * np.arange(BAND))).sum(axis=2)
+    return (out.reshape(n, cut.bands, cut.band) << (WIDTH * np.arange(cut.band))).sum(axis=2)
 
 
-def registers(bands: np.ndarray) -> np.ndarray:
-    """(texts, REGISTERS) u16 codes of packed bands."""
-    return ((bands[:, :, None] >> (WIDTH * np.arange(BAND))) & ((1 << WIDTH) - 1)).astype(np.uint16).reshape(len(bands), REGISTERS)
+def registers(bands: np.ndarray, cut: Cut = QUERY) -> np.ndarray:
+    """(texts, cut.registers) u16 codes of packed bands."""
+    return ((bands[:, :, None] >> (WIDTH * np.arange(cut.band))) & ((1 << WIDTH) - 1)).astype(np.uint16).reshape(len(bands), cut.registers)
 
 
-def collision_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def collision_rate(n_a: np.ndarray, n_b: np.ndarray, size: int) -> np.ndarray:
     """The chance that registers of disjoint sets agree: same leading zeros, and then all mantissa bits."""
     level = np.arange(0, 1 << ZEROS)
     below = 1.0 - 2.0 ** -(level + 1.0)
     below[-1] = 1.0
-    upper = lambda n: below ** np.maximum(1.0, n / REGISTERS)[:, None]  # noqa: E731  P(most leading zeros <= level)
+    upper = lambda n: below ** np.maximum(1.0, n / size)[:, None]  # noqa: E731  P(most leading zeros <= level)
     p, q = np.diff(upper(n_a), prepend=0, axis=1), np.diff(upper(n_b), prepend=0, axis=1)
     return (p * q).sum(axis=1) * 2.0**-MANTISSA
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard estimates corrected for chance agreement."""
-    same, chance = (a == b).mean(axis=1), collision_rate(n_a, n_b)
+    same, chance = (a == b).mean(axis=1), collision_rate(n_a, n_b, a.shape[1])
     return (same - chance) / (1 - chance)
 
 
-def worth_verifying(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def worth_verifying(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, cut: Cut) -> np.ndarray:
     """Sizes allow the threshold, and the estimate doesn't speak against it."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    return (100 * small >= PERCENT * large) & ((small <= SMALL) | (estimates(a, b, n_a, n_b) >= LEAST_ESTIMATE))
+    return (100 * small >= cut.percent * large) & ((small <= SMALL) | (estimates(a, b, n_a, n_b) >= cut.least_estimate))
 
 
-def _sketch_rows(docs: DataFrame) -> DataFrame:
+def _sketch_rows(docs: DataFrame, cut: Cut) -> DataFrame:
     """(row, doc_id, h, n, hi, lo, bands) for each row, written to the shared folder."""
     names = ["row", "doc_id", "h", "n", "hi", "lo", "bands"]
 
@@ -169,8 +202,8 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
                     one = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + _GOLD))])
                     two = np.concatenate([[np.uint64(0)], np.cumsum(mix(values * _GOLD ^ np.uint64(77)))])
                     hi, lo = one[bounds[1:]] - one[bounds[:-1]], two[bounds[1:]] - two[bounds[:-1]]
-                bands = sketches(values, bounds)
-                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+                bands = sketches(values, bounds, cut)
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, cut.bands, dtype=np.int32)), pa.array(bands.ravel()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), packed], names)
 
@@ -178,25 +211,25 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
     return materialize(keyed.mapInArrow(run, "row long, doc_id long, h long, n long, hi long, lo long, bands array<long>"), "sketches")
 
 
-def _bands(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
+def _bands(column: pa.Array, cut: Cut) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, cut.bands)
 
 
-def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _passing(pairs: DataFrame, nodes: DataFrame, cut: Cut) -> DataFrame:
     """Pairs (a, b) that are worth verifying, by the sketches of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 size = [batch.column(i).to_numpy() for i in (2, 4)]
-                good = worth_verifying(registers(_bands(batch.column(3))), registers(_bands(batch.column(5))), *size)
+                good = worth_verifying(registers(_bands(batch.column(3), cut), cut), registers(_bands(batch.column(5), cut), cut), *size, cut)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"bands_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bands_a", "n_b", "bands_b").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, cut: Cut) -> DataFrame:
     """Links (u, v) among pairs (a, b), on the full sets of the whole texts."""
     salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n_pairs")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / STAR)))
     salted = materialize(salted.select("a", "b", "salt"), "pairs")
@@ -221,7 +254,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                         group, centre = (a, salt), own
                     elif group == (a, salt):
                         both = len(np.intersect1d(centre, own, assume_unique=True))
-                        if 100 * both >= PERCENT * (len(centre) + len(own) - both):
+                        if 100 * both >= cut.percent * (len(centre) + len(own) - both):
                             left.append(a)
                             right.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
@@ -230,7 +263,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(streamed.mapInArrow(run, "u long, v long").distinct(), "links")
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, cut: Cut) -> DataFrame:
     """Pairs (a, b) of different components within a bucket that pass the estimate."""
     labelled = members.join(roots, "node", "left").select("pos", "val", "node", F.coalesce("root", "node").alias("root"))
     several = labelled.groupBy("pos", "val").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("pos", "val")
@@ -255,11 +288,11 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     def compare(asks: list, node, root, n, codes, bands, pos) -> tuple[list, list]:
         left, right = [], []
         for q_node, q_root, q_n, q_codes, q_bands in asks:
-            able = np.flatnonzero((root != q_root) & (100 * np.minimum(n, q_n) >= PERCENT * np.maximum(n, q_n)))
+            able = np.flatnonzero((root != q_root) & (100 * np.minimum(n, q_n) >= cut.percent * np.maximum(n, q_n)))
             if len(able):
                 able = able[~(bands[able, :pos] == q_bands[:pos]).any(axis=1)]  # met in an earlier band
             if len(able):
-                good = able[worth_verifying(codes[able], np.broadcast_to(q_codes, codes[able].shape), n[able], np.full(len(able), q_n))]
+                good = able[worth_verifying(codes[able], np.broadcast_to(q_codes, codes[able].shape), n[able], np.full(len(able), q_n), cut)]
                 left.extend([q_node] * len(good))
                 right.extend(node[good].tolist())
         return left, right
@@ -271,8 +304,8 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
                 continue
             keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
             kind, node, root, n = (batch.column(i).to_numpy() for i in range(4, 8))
-            bands = _bands(batch.column(8))
-            codes = registers(bands)
+            bands = _bands(batch.column(8), cut)
+            codes = registers(bands, cut)
             cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
             left, right = [], []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -289,9 +322,10 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = QUERY.percent) -> DataFrame:
     """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept."""
-    rows = _sketch_rows(docs)
+    cut = Cut(percent)
+    rows = _sketch_rows(docs, cut)
     key = ["hi", "lo", "n"]
     nodes = materialize(
         rows.filter("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min(F.struct(ids_last(F.col("doc_id")).alias("id"), "h", "row")).alias("least"), F.min_by("bands", "row").alias("bands")).select("node", "least.id", "least.h", *key, "bands"),
@@ -304,13 +338,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     placed = members.join(central, "node")
     centres = placed.groupBy("pos", "val").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
     stars = members.join(centres, ["pos", "val"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    tested = materialize(_passing(stars, nodes), "tested")
-    links = _verify(tested, nodes, docs)
+    tested = materialize(_passing(stars, nodes, cut), "tested")
+    links = _verify(tested, nodes, docs, cut)
     roots = components(links)
     past = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(_across(members, nodes, roots).join(past, ["a", "b"], "left_anti"), "across")
+    more = materialize(_across(members, nodes, roots, cut).join(past, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
-        roots = components(links.union(_verify(more, nodes, docs)))
+        roots = components(links.union(_verify(more, nodes, docs, cut)))
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("id").alias("component"))
     named = classes.join(least, "root").select(*key, "component")
@@ -318,7 +352,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = QUERY.percent) -> DataFrame:
     """One document of each group stays: the one with the group's smallest id."""
-    gone = materialize(near_groups(docs).filter("NOT kept").select("doc_id", "h").distinct(), "gone")
+    gone = materialize(near_groups(docs, percent).filter("NOT kept").select("doc_id", "h").distinct(), "gone")
     return by_keys(docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), gone, ["doc_id", "h"], "left_anti").select(*docs.columns)

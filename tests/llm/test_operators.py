@@ -287,6 +287,33 @@ def test_near_dedup_against_brute_force(spark):
     assert {r.doc_id for r in rest.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_near_dedup_at_a_given_threshold(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, near = [], set()
+    for i in range(40):  # 104 words: 100 shingles, of which an edit in the middle changes five
+        base = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(104)]
+        edited = list(base)
+        for at in (20, 50):  # 90 of 110 shingles: 0.82
+            edited[at] += "x"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+        near.add(2 * i)
+    both = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert all(0.8 <= x < 0.85 for x in both)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect()} == near
+    assert near_dedup.drop_near_copies(docs).count() == len(rows)
+    assert {r.component_id for r in near_dedup.near_groups(docs, 80).collect()} == near
+
+
+def test_what_follows_from_the_threshold():
+    for percent, band, bands, least in ((85, 6, 32, 0.72), (80, 5, 38, 0.65)):
+        cut = near_dedup.Cut(percent)
+        assert (cut.band, cut.bands, cut.least_estimate) == (band, bands, least)
+        assert (1 - (percent / 100) ** band) ** bands < near_dedup.MISSED
+
+
 def test_sketch_estimates_are_close():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 1200).astype(np.uint64)

@@ -7,8 +7,8 @@ weights 1, 2, 1, fused by their product, and paths over a share of the highest v
 Parts that a page declares as something else (navigation, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles, hidden parts) never count.
 
-The content node is the article or main element with the highest sum of fused values, or, where
-there is none, the lowest element that holds all content blocks. The text is every block
+The content node is the lowest element that holds all content blocks, unless an article or main
+element holds more than half of the page's fused values, summed over blocks: then it is that element. The text is every block
 of that node that isn't declared as something else and isn't mostly links outside the content paths:
 short paragraphs stay, nothing is capped.
 
@@ -190,20 +190,23 @@ def main_text(page: str | None) -> str:
     values = path_values(blocks)
     top = max(values.values())
     content = {p for p, v in values.items() if v >= SHARE * top}
+    chosen = [b for b in blocks if b.element.path in content]
+    common = _ancestors(chosen[0].element)
+    for b in chosen[1:]:
+        own = {id(e) for e in _ancestors(b.element)}
+        common = [e for e in common if id(e) in own]
+    node, total = common[0], 0.0
     holders: dict[int, list] = {}
     for b in blocks:
+        value = values[b.element.path] + 1e-9
+        total += value
         for e in _ancestors(b.element):
             if e.tag in CONTAINERS:
-                holders.setdefault(id(e), [0.0, -e.depth, e])[0] += values[b.element.path] + 1e-9
+                holders.setdefault(id(e), [0.0, -e.depth, e])[0] += value
     if holders:
-        node = max(holders.values(), key=lambda h: (h[0], h[1]))[2]
-    else:
-        chosen = [b for b in blocks if b.element.path in content]
-        common = _ancestors(chosen[0].element)
-        for b in chosen[1:]:
-            own = {id(e) for e in _ancestors(b.element)}
-            common = [e for e in common if id(e) in own]
-        node = common[0]
+        held, _, most = max(holders.values(), key=lambda h: (h[0], h[1]))
+        if 2 * held > total:
+            node = most
     kept = [b.text for b in blocks if any(e is node for e in _ancestors(b.element)) and (b.element.path in content or 2 * b.linked < len(b.text))]
     return "\n\n".join(kept)
 

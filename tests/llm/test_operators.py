@@ -235,6 +235,20 @@ def test_html_parts():
     assert html_text.main_text("plain text, no tags") == "plain text, no tags"
 
 
+def test_html_body_outside_of_articles():
+    body = [f"Paragraph {i} of the body, long enough, with commas, to be told from a card; and so it goes on, sentence after sentence." for i in range(6)]
+    cards = "".join(f"<article><h3>Card {i}</h3><p>A teaser.</p></article>" for i in range(3))
+    text = "".join(f"<p>{b}</p>" for b in body)
+    # Cards stay too where their paths are over the share of the highest value, but never instead of the body.
+    assert html_text.main_text(f"<body><div id=content>{text}</div><div class=cards>{cards}</div></body>").startswith("\n\n".join(body))
+    # Bodies in several articles of equal weight all stay, and so does one beside an article that isn't most of the page.
+    several = html_text.main_text("<body>" + "".join(f"<article><p>{b}</p></article>" for b in body) + "</body>")
+    assert several == "\n\n".join(body)
+    assert html_text.main_text(f"<body><div id=content>{text}</div><article><p>{body[0]}</p></article></body>") == "\n\n".join([*body, body[0]])
+    # An article with most of the page is the node: its short parts stay, a line beside it doesn't.
+    assert html_text.main_text(f"<body><p>A line, beside.</p><article><h1>Head</h1>{text}</article></body>") == "\n\n".join(["Head", *body])
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", "<p>a</p>", "z")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "", "a"]

@@ -53,6 +53,11 @@ def measure_query(name: str):
     return run
 
 
+def lev_whole(spark, sf_dir):
+    """Edit distance by code points over whole texts; DuckDB's counts bytes, so there is no SQL for it."""
+    return registry.score(pairs(spark, sf_dir), ["lev"]).select("conv_id", "turn", F.round("lev", 6).alias("score"))
+
+
 def exe_zero(spark, sf_dir):
     return registry.score(pairs(spark, sf_dir), ["exe"]).select("conv_id", "turn", F.col("exe").alias("score"))
 
@@ -217,7 +222,7 @@ QUERIES: dict = {n: measure_query(n) for n in registry.names() if n != "exe"} |
 QUERIES |= {
     f.__name__: f
     for f in (
-        exe_zero, exe_outputs, comments_w2v, embedding_cosine, flagship, feature_rows, pair_join, method_names, code_metrics, token_graph, confusion, metrics_at, roc_auc,
+        lev_whole, exe_zero, exe_outputs, comments_w2v, embedding_cosine, flagship, feature_rows, pair_join, method_names, code_metrics, token_graph, confusion, metrics_at, roc_auc,
         youden_threshold, best_f1_threshold, leaderboard, pr_auc, separation, corr_pairs, label_balance, by_type, split_train_test, sample_exact_k, minmax_scale, zscore_train,
         mean_ensemble, vote_ensemble, explain, rf_importances,
     )

@@ -132,6 +132,23 @@ def test_query_equals_its_oracle(spark, sf_dir, duck, name):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
+def test_lev_over_whole_texts(spark, tmp_path):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return round(1 - row[-1] / max(len(a), len(b)), 6) if a or b else 0.0
+
+    texts = ["é", "e", "für", "fur", "漢字とかな", "漢字", "😀 ñandú", "ñandú", None, "", "плохо", "плот", "a plain one", "a plain öne" * 40]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.score for r in catalog.QUERIES["lev_whole"](spark, str(tmp_path)).collect()}
+    expected = {i: plain(a or "", b or "") for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+    assert got == pytest.approx(expected, abs=2e-6)
+    assert got[0] == 0.0 and got[2] == pytest.approx(2 / 3, abs=1e-6) and got[4] == 0.4
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_oracle_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0

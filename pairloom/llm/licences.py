@@ -5,8 +5,9 @@ every template and the base phrases. A text streams through it word by word, whi
 matching statistics: the longest run of words ending here that occurs in any template. Runs
 that can't go on and have at least MIN_MATCH words are matches; those of a template
 are chained in order (gaps of at most GAP words), and a chain that covers at least COVER of
-the template's words is a span with its label. Base phrases are read off the same statistics: a phrase stands
-where it is a suffix of the current run.
+the template's words is a span with its label. A template that stands whole within a longer match of another
+is a span too. Such templates and base phrases are read off the same statistics: they stand
+where they are a suffix of the current run.
 
 Words and word pairs of the templates are looked up for whole blocks of texts first: a
 run of two or more words consists of template pairs, so only such runs are streamed; that loses nothing.
@@ -136,18 +137,20 @@ class LicenceScanner:
         self._pairs = np.unique([a * self._width + b for s in coded for a, b in zip(s, s[1:])])
         short = [s for s in coded[len(templates) :] if len(s) - 1 < MIN_MATCH - 1]
         self._short = np.unique([a * self._width + b for s in short for a, b in zip(s, s[1:])])
-        # For each state: base phrases that are suffixes of it, as (phrase, words).
+        # For each state: base phrases and whole templates that are suffixes of it, as (phrase or template, words).
         self._suffix: list[list[tuple[int, int]]] = []
+        self._whole: list[list[tuple[int, int]]] = []
         for state in range(len(self.automaton.next)):
-            here, up = [], state
+            here, whole, up = [], [], state
             while up > 0:
                 low = self.automaton.length[self.automaton.link[up]]
                 for k, end in self.automaton.ends[up]:
                     p = k - len(templates)
-                    if p >= 0 and end == self.sizes[k] - 1 and low < self.sizes[k] <= self.automaton.length[up]:
-                        here.append((p, self.sizes[k]))
+                    if end == self.sizes[k] - 1 and low < self.sizes[k] <= self.automaton.length[up]:
+                        (here if p >= 0 else whole).append((p if p >= 0 else k, self.sizes[k]))
                 up = self.automaton.link[up]
             self._suffix.append(here)
+            self._whole.append(whole)
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]]:
         """Per text: number of words, base places (label, word), spans (label, first word, end word, coverage)."""
@@ -162,6 +165,7 @@ class LicenceScanner:
         good = (numbers[:-1] > 0) & (numbers[1:] > 0) & (rows[:-1] == rows[1:]) & np.isin(pair, self._pairs)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
         found: dict[int, list[tuple[int, int, int]]] = {}
+        whole: dict[int, list[tuple[int, int]]] = {}
         short = np.concatenate([[0], np.cumsum(good & np.isin(pair, self._short))])
         for i, j in zip(edges[::2], edges[1::2]):
             if j - i < MIN_MATCH - 1 and short[j] == short[i]:
@@ -172,14 +176,15 @@ class LicenceScanner:
                 for p, n in self._suffix[state]:
                     if n <= size:
                         out[row][1].append((self.phrases[p], lo + k - n + 1))
+                whole.setdefault(row, []).extend((t, lo + k - n + 1) for t, n in self._whole[state] if n <= size)
                 if size >= MIN_MATCH and (k + 1 == len(stats) or stats[k + 1][1] <= size):
                     found.setdefault(row, []).append((lo + k - size + 1, size, state))
         for row, matches in found.items():
-            out[row][2].extend(self._chains(matches))
+            out[row][2].extend(self._chains(matches, whole[row]))
         return out
 
-    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains matches, in text order, into covered spans of each template."""
+    def _chains(self, matches: list[tuple[int, int, int]], whole: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+        """Chains matches, in text order, into covered spans of each template, beside those that stand whole."""
         open_: dict[int, list[list[int]]] = {}
         for start, size, state in matches:
             for k, end in self.automaton.ends[state]:
@@ -193,7 +198,7 @@ class LicenceScanner:
                         break
                 else:
                     chains.append([start, start + size, end + 1, size])
-        best: dict[tuple[str, int], tuple[int, float]] = {}
+        best: dict[tuple[str, int], tuple[int, float]] = {(self.labels[k], start): (start + self.sizes[k], 1.0) for k, start in whole}
         for k, chains in open_.items():
             for start, end, _, covered in chains:
                 share = covered / self.sizes[k]

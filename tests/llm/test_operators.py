@@ -198,6 +198,20 @@ def test_licences(spark, documents):
     assert got[-4].labels == "mit" and 0.6 <= got[-4].score < 1 and "apache-2.0" in got[-3].labels and got[-2].score == 0
 
 
+def test_licence_templates_that_stand_whole():
+    scanner, rng = licences.LicenceScanner(), random.Random(3)
+    texts = [t for _, t in licences.TEMPLATES] + [" ".join(rng.choice(["some words", *(t for _, t in licences.TEMPLATES)]) for _ in range(8)) for _ in range(20)]
+    data, offsets = buffers(pa.array(texts))
+    for text, (_, _, spans) in zip(texts, scanner.scan(data, offsets)):
+        words = text.split()
+        own = [(label, t.split()) for label, t in licences.TEMPLATES]
+        standing = {(label, at, at + len(t), 1.0) for label, t in own for at in range(len(words)) if words[at : at + len(t)] == t}
+        assert standing == {s for s in spans if s[3] == 1.0}
+    full = next(t for label, t in licences.TEMPLATES if label == "apache")
+    ((_, _, spans),) = scanner.scan(*buffers(pa.array([full])))
+    assert {s[0] for s in spans} == {"apache", "apache-2.0"}
+
+
 def test_matching_statistics_against_brute_force():
     rng = random.Random(4)
     sequences = [[rng.randint(1, 3) for _ in range(rng.randint(2, 12))] for _ in range(5)]

@@ -9,8 +9,8 @@ notices, adverts, forms, comments, scripts, styles, hidden parts) never count.
 
 The content node is the lowest element that holds all content blocks, unless an article or main
 element holds more than half of the page's fused values, summed over blocks: then it is that element. The text is every block
-of that node that isn't declared as something else and isn't mostly links outside the content paths:
-short paragraphs stay, nothing is capped.
+of that node that isn't declared as something else; outside of article and main elements, blocks that are
+mostly links stay only on content paths. Short paragraphs stay, nothing is capped.
 
 Null and empty pages, and pages without such blocks, give an empty text. Unclosed elements close with
 their parent, text after a cut-off tag is kept.
@@ -207,7 +207,11 @@ def main_text(page: str | None) -> str:
         held, _, most = max(holders.values(), key=lambda h: (h[0], h[1]))
         if 2 * held > total:
             node = most
-    kept = [b.text for b in blocks if any(e is node for e in _ancestors(b.element)) and (b.element.path in content or 2 * b.linked < len(b.text))]
+    kept = []
+    for b in blocks:
+        above = _ancestors(b.element)
+        if any(e is node for e in above) and (b.element.path in content or 2 * b.linked < len(b.text) or any(e.tag in CONTAINERS for e in above)):
+            kept.append(b.text)
     return "\n\n".join(kept)
 
 

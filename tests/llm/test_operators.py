@@ -263,6 +263,14 @@ def test_html_body_outside_of_articles():
     assert html_text.main_text(f"<body><p>A line, beside.</p><article><h1>Head</h1>{text}</article></body>") == "\n\n".join(["Head", *body])
 
 
+def test_html_sources_within_an_article():
+    body = "A long paragraph, with commas, so that its path is content; and so it goes on, sentence after sentence. " * 3
+    sources = '<ul><li><a href="/a">First source</a></li><li><a href="/b">Second source</a></li></ul>'
+    menu = '<nav><ul><li><a href="/">Home</a></li></ul></nav><div class="related"><a href="/c">Another page</a></div>'
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<body>{sources}<{tag}><p>{body}</p>{sources}{menu}</{tag}></body>") == f"{body.strip()}\n\nFirst source\n\nSecond source"
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", "<p>a</p>", "z")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "", "a"]

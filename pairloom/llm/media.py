@@ -69,8 +69,9 @@ def _band_peaks(samples: np.ndarray, frames: int, first: int, end: int) -> tuple
 def fingerprint(payload: bytes) -> np.ndarray:
     """Time-coded peak pairs."""
     samples = np.frombuffer(payload, np.uint8).astype(np.float32) - 128.0
-    if len(samples) < FRAME:
-        samples = np.concatenate([samples, np.zeros(FRAME - len(samples), np.float32)])
+    # Zeros up to a whole number of steps, so that every sample is in a frame.
+    if rest := max(FRAME - len(samples), -len(samples) % STEP):
+        samples = np.concatenate([samples, np.zeros(rest, np.float32)])
     frames = (len(samples) - FRAME) // STEP + 1
     parts = [_band_peaks(samples, frames, i, min(i + _BLOCK, frames)) for i in range(0, frames, _BLOCK)]
     strength, best = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

@@ -125,6 +125,14 @@ def test_fingerprint_finds_a_shifted_passage():
     assert common > 0.9 * sum(codes(body).values())
 
 
+def test_fingerprint_covers_the_last_samples():
+    rng = random.Random(2)
+    for size in (320, 448, 4096 + 64):
+        body = bytes(rng.choice(b"abcdefgh ") for _ in range(size - 64))
+        ends = [(b" " * n + b"~" * n) * (32 // n) for n in (1, 2, 4, 8)]  # clear tones
+        assert len({media.fingerprint(body + x).tobytes() for x in ends}) > 1, size
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((1, 0), (5, 3), (1000, 90_000), (300, 10**9)):

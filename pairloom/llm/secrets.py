@@ -5,8 +5,8 @@ Tokens are runs of ASCII letters and digits or of bytes over 0x7F. Features, has
 words before and the one after, the characters between it and the word before, their conjunctions,
 and of the file its length and share of tokens with digits. States: outside, begin, inside.
 
-The field is fitted by the engine itself: at most MAX_DOCS documents, chosen by a hash of doc_id from at most
-SCAN_DOCS, are labelled with the values that the base patterns find; that is the only
+The field is fitted by the engine itself: at most MAX_DOCS documents, chosen by a hash of doc_id from all
+rows, are labelled with the values that the base patterns find; that is the only
 sample. Viterbi decodes every text in which any token could pay for leaving `outside`, which
 is exact: other texts' best labelling is all outside. Runs of at least MIN_CHARS code points
 that touch no base span are added as kind "crf"; base spans stay.
@@ -39,7 +39,7 @@ HEX = byte_class((0x30, 0x39), (0x61, 0x66))
 _UPPER, _LOWER, _DIGIT, _HIGH = byte_class((65, 90)), byte_class((97, 122)), byte_class((48, 57)), byte_class((128, 255))
 BITS = 18
 MIN_CHARS = 8
-MAX_DOCS, SCAN_DOCS = 3000, 60_000
+MAX_DOCS = 3000
 _NEVER = -40.0
 #: Steps of the optimiser, at least.
 MIN_STEPS = 80
@@ -206,14 +206,11 @@ def fit(texts: list[str], epochs: int = 8) -> SecretModel:
     return model
 
 
-def sample_texts(docs: DataFrame, max_docs: int = MAX_DOCS, scan_docs: int = SCAN_DOCS) -> list[str]:
-    """At most max_docs texts, half with a base span where there are as many."""
-    n = docs.count()
-    share = min(1.0, scan_docs / max(1, n))
+def sample_texts(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[str]:
+    """At most max_docs texts, half with a base span where there are as many in all rows."""
     keyed = id_and_text(docs).filter("doc_id IS NOT NULL").withColumn("key", F.xxhash64(F.lit("secrets"), "doc_id"))
-    looked = keyed.filter(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000))
     pattern = r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{8}"
-    flagged = looked.select("doc_id", "key", F.col("text").rlike(pattern).alias("hit"))
+    flagged = keyed.select("doc_id", "key", F.col("text").rlike(pattern).alias("hit"))
     chosen = [r.doc_id for r in flagged.filter("hit").orderBy("key").limit(max_docs // 2).collect()] + [r.doc_id for r in keyed.select("doc_id", "key").orderBy("key").limit(max_docs // 2).collect()]
     if not chosen:
         return []

@@ -398,6 +398,17 @@ def test_secrets(spark, documents):
     assert key not in masked[-1] and masked[-1].startswith("x é [SECRET]") and masked[-2] is None and masked[0] == documents[0]
 
 
+def test_secret_sample_looks_at_all_rows(spark):
+    # One text with a secret in 150,000, at the end of the order by hash.
+    docs = spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit("nothing here").alias("text"))
+    key = F.xxhash64(F.lit("secrets"), "doc_id")
+    last = docs.orderBy(F.pmod(key, F.lit(1_000_000)).desc(), key.desc()).first().doc_id
+    hit = "password = hunter2hunter2"
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == last, hit).otherwise(F.col("text")))
+    assert hit in secrets.sample_texts(docs, 20)
+    assert len(secrets.sample_texts(docs, 20)) == 11
+
+
 def test_field_finds_masked_keywords():
     """The field itself, without the base patterns, finds values that resemble those it was fitted on."""
     rng = random.Random(8)

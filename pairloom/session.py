@@ -35,9 +35,19 @@ def build_session(app: str = "pairloom", cores: str = "*", shuffle_partitions: i
     return spark
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker: rows of any width then need the same memory.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that functions defined in it can be unpickled on any machine."""
+    """Send this package to the Python workers once per application, so that functions defined in it can be unpickled on any machine.
+
+    Arrow batches are bounded by BATCH_BYTES in this session, unless the application has set a bound of its own.
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     if getattr(sc, "_pairloom_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="pairloom-")) / "pairloom_src.zip"

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
 from pairloom.llm.joins import by_keys
-from pairloom.llm.tables import id_and_text, ids_last
+from pairloom.llm.tables import NO_ID, free_names, id_and_text, ids_last, tidied
 from pairloom.llm.words import NOT_BLANK, buffers, mix, row_blocks, words_of
 from pairloom.session import materialize
 
@@ -53,6 +53,8 @@ SMALL = 64
 MISSED, ERRORS = 1e-6, 5
 #: Members of a bucket outside its largest component that are compared at a time, and rows they are compared with in a task.
 BLOCK, SPAN = 512, 8192
+#: Shingles of such members' sets that a task holds at a time, about.
+SETS = 1_000_000
 STAR = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -138,15 +140,15 @@ def sketches(values: np.ndarray, bounds: np.ndarray, cut: Cut = QUERY) -> np.nda
     least = least.reshape(n, size)
     empty = least == _FULL
     # The leading one's place, exact for all 64 bits.
-    top = np.zeros(least.shape, np.uint64)
+    top = np.zeros(least.shape, np.uint8)
     rest = least.copy()
     for step in (32, 16, 8, 4, 2, 1):
-        big = (rest >> np.uint64(step)) > 0
-        top += np.where(big, np.uint64(step), np.uint64(0))
-        rest = np.where(big, rest >> np.uint64(step), rest)
-    zeros = np.uint64(63) - top
-    mantissa = ((least << zeros) << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    codes = (np.minimum(zeros, np.uint64((1 << ZEROS) - 1)) << np.uint64(MANTISSA) | mantissa).astype(np.int64)
+        big = rest >= np.uint64(1 << step)
+        top[big] += step
+        rest[big] >>= np.uint64(step)
+    zeros = 63 - top
+    mantissa = (((least << zeros.astype(np.uint64)) << np.uint64(1)) >> np.uint64(64 - MANTISSA)).astype(np.uint16)
+    codes = np.minimum(zeros, (1 << ZEROS) - 1).astype(np.uint16) << MANTISSA | mantissa
     out = codes.copy()
     todo_row, todo_reg = np.nonzero(empty & (np.diff(bounds) > 0)[:, None])
     for attempt in range(len(fill) + size):
@@ -157,7 +159,10 @@ def sketches(values: np.ndarray, bounds: np.ndarray, cut: Cut = QUERY) -> np.nda
         out[todo_row[good], todo_reg[good]] = codes[todo_row[good], source[good]]
         todo_row, todo_reg = todo_row[~good], todo_reg[~good]
     out[np.diff(bounds) == 0] = 0
-    return (out.reshape(n, cut.bands, cut.band) << (WIDTH * np.arange(cut.band))).sum(axis=2)
+    packed = np.zeros((n, cut.bands), np.int64)
+    for k in range(cut.band):
+        packed |= out[:, k :: cut.band].astype(np.int64) << (WIDTH * k)
+    return packed
 
 
 def registers(bands: np.ndarray, cut: Cut = QUERY) -> np.ndarray:
@@ -208,7 +213,7 @@ def _sketch_rows(docs: DataFrame, cut: Cut) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), packed], names)
 
     keyed = id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    return materialize(keyed.mapInArrow(run, "row long, doc_id long, h long, n long, hi long, lo long, bands array<long>"), "sketches")
+    return materialize(keyed.mapInArrow(tidied(run), "row long, doc_id long, h long, n long, hi long, lo long, bands array<long>"), "sketches")
 
 
 def _bands(column: pa.Array, cut: Cut) -> np.ndarray:
@@ -226,17 +231,14 @@ def _passing(pairs: DataFrame, nodes: DataFrame, cut: Cut) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bands").alias(f"bands_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bands_a", "n_b", "bands_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bands_a", "n_b", "bands_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, cut: Cut) -> DataFrame:
     """Links (u, v) among pairs (a, b), on the full sets of the whole texts."""
     salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n_pairs")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / STAR)))
     salted = materialize(salted.select("a", "b", "salt"), "pairs")
-    involved = salted.select(F.col("a").alias("node")).union(salted.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.select("node", "id", "h").join(involved, "node"), "wanted")
-    own = id_and_text(docs).select(ids_last(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("h"), "text")
-    texts = materialize(by_keys(own, wanted, ["id", "h"], "inner").select("node", "text"), "texts")
+    texts = _texts(salted.select(F.col("a").alias("node")).union(salted.select(F.col("b").alias("node"))), nodes, docs)
     centres = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     others = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
 
@@ -260,99 +262,220 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, cut: Cut) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
     streamed = centres.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(streamed.mapInArrow(run, "u long, v long").distinct(), "links")
+    return materialize(streamed.mapInArrow(tidied(run), "u long, v long").distinct(), "links")
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, cut: Cut) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that pass the estimate."""
-    labelled = members.join(roots, "node", "left").select("pos", "val", "node", F.coalesce("root", "node").alias("root"))
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pos, val, node, n, root, main, chunks, spans): members of the buckets that hold several components, with the bucket's largest one and its tiles."""
+    labelled = members.join(roots, "node", "left").select("pos", "val", "node", "n", F.coalesce("root", "node").alias("root"))
     several = labelled.groupBy("pos", "val").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("pos", "val")
     mixed = materialize(labelled.join(several, ["pos", "val"]), "mixed")
-    sizes = mixed.groupBy("pos", "val", "root").agg(F.count("*").alias("n_root"))
-    largest = sizes.groupBy("pos", "val").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("total"), F.max("n_root").alias("n_main"))
+    sizes = mixed.groupBy("pos", "val", "root").agg(F.count("*").alias("n_root"), F.sum("n").alias("sets"))
+    largest = sizes.groupBy("pos", "val").agg(F.max_by(F.struct("root", "n_root", "sets"), F.struct("n_root", "root")).alias("top"), F.sum("n_root").alias("total"), F.sum("sets").alias("sets"))
+    chunks = F.greatest((F.col("total") - F.col("top.n_root")) / BLOCK, (F.col("sets") - F.col("top.sets")) / SETS)
+    tiles = largest.select("pos", "val", F.col("top.root").alias("main"), F.ceil(chunks).cast("int").alias("chunks"), F.ceil(F.col("total") / SPAN).cast("int").alias("spans"))
+    return mixed.join(tiles, ["pos", "val"])
+
+
+_TILE = ["pos", "val", "chunk", "span"]
+_TILE_SCHEMA = "pos int, val long, chunk int, span int, kind int, node long, root long, n long, bands array<long>"
+
+
+def _tiles(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Deals each mixed bucket out: kind 0 are a chunk's members outside the largest component, kind 1 the members of a span that they are compared with."""
     rows = (
-        mixed.join(largest, ["pos", "val"])
-        .join(nodes.select("node", "n", "bands"), "node")
+        mixed.join(nodes.select("node", "bands"), "node")
         .withColumn("asks", F.col("root") != F.col("main"))
-        .withColumn("chunks", F.ceil((F.col("total") - F.col("n_main")) / BLOCK).cast("int"))
-        .withColumn("spans", F.ceil(F.col("total") / SPAN).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("span", F.pmod(F.xxhash64("node", F.lit(1)), F.col("spans")).cast("int"))
     )
     keep = ["pos", "val", "node", "root", "n", "bands"]
     asking = rows.filter("asks").select(*keep, "chunk", F.explode(F.sequence(F.lit(0), F.col("spans") - 1)).alias("span"), F.lit(0).alias("kind"))
     asked = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "span", F.lit(1).alias("kind"))
-    group = ["pos", "val", "chunk", "span"]
-    dealt = asking.unionByName(asked).repartition(*group).sortWithinPartitions(*group, "kind").select(*group, "kind", "node", "root", "n", "bands")
-
-    def compare(asks: list, node, root, n, codes, bands, pos) -> tuple[list, list]:
-        left, right = [], []
-        for q_node, q_root, q_n, q_codes, q_bands in asks:
-            able = np.flatnonzero((root != q_root) & (100 * np.minimum(n, q_n) >= cut.percent * np.maximum(n, q_n)))
-            if len(able):
-                able = able[~(bands[able, :pos] == q_bands[:pos]).any(axis=1)]  # met in an earlier band
-            if len(able):
-                good = able[worth_verifying(codes[able], np.broadcast_to(q_codes, codes[able].shape), n[able], np.full(len(able), q_n), cut)]
-                left.extend([q_node] * len(good))
-                right.extend(node[good].tolist())
-        return left, right
+    return _by_tile(asking.unionByName(asked).select(*_TILE, "kind", "node", "root", "n", "bands"))
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "kind", "node")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.RecordBatch, tuple, int, int, int]]:
+    """(batch, tile, first row, first row of kind 1, end) of each tile's stretch within a batch."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(n_keys)], axis=1)
+        kind = batch.column(n_keys).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield batch, tuple(keys[i].tolist()), i, i + int((kind[i:j] == 0).sum()), j
+
+
+class _Asked:
+    """Rows of a tile that are compared with: node, component, size, codes and bands of each."""
+
+    def __init__(self, rows: pa.RecordBatch, cut: Cut):
+        self.node, self.root, self.n = (rows.column(i).to_numpy() for i in (5, 6, 7))
+        self.bands = _bands(rows.column(8), cut)
+        self.codes = registers(self.bands, cut)
+
+    def passing(self, k: int, other: _Asked, root: np.ndarray, own_root: int, pos: int, cut: Cut) -> np.ndarray:
+        """Rows of other that row k is to be verified with: another component, not met in an earlier band, and worth it."""
+        n = int(self.n[k])
+        able = np.flatnonzero((root != own_root) & (100 * np.minimum(other.n, n) >= cut.percent * np.maximum(other.n, n)))
+        if len(able):
+            able = able[~(other.bands[able, :pos] == self.bands[k, :pos]).any(axis=1)]
+        if len(able):
+            codes = other.codes[able]
+            able = able[worth_verifying(codes, np.broadcast_to(self.codes[k], codes.shape), other.n[able], np.full(len(able), n), cut)]
+        return able
+
+
+def _suspects(tiles: DataFrame, cut: Cut) -> DataFrame:
+    """The rows of each tile that take part in a pair worth verifying: at most each of the tile's rows once, however many the pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, asks = None, []
-        for batch in batches:
-            if not len(batch):
+        tile, asks, told = None, [], []
+        for batch, now, i, m, j in _runs(batches, 4):
+            if now != tile:
+                tile, asks, told = now, [], []
+            if m > i:
+                asks.append(_Asked(batch.slice(i, m - i), cut))
+                told.append((batch.slice(i, m - i), np.zeros(m - i, bool)))
+            if j == m:
                 continue
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
-            kind, node, root, n = (batch.column(i).to_numpy() for i in range(4, 8))
-            bands = _bands(batch.column(8), cut)
-            codes = registers(bands, cut)
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
-            left, right = [], []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if held != tuple(keys[i]):
-                    held, asks = tuple(keys[i]), []
-                m = i + int((kind[i:j] == 0).sum())
-                asks += [(int(node[k]), int(root[k]), int(n[k]), codes[k].copy(), bands[k].copy()) for k in range(i, m)]
-                a, b = compare(asks, node[m:j], root[m:j], n[m:j], codes[m:j], bands[m:j], int(keys[i, 0]))
-                left += a
-                right += b
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            other, hit = _Asked(batch.slice(m, j - m), cut), np.zeros(j - m, bool)
+            for own, (rows, done) in zip(asks, told):
+                fresh = np.zeros(len(done), bool)
+                for k in range(len(done)):
+                    able = own.passing(k, other, other.root, int(own.root[k]), now[0], cut)
+                    if len(able):
+                        hit[able] = True
+                        fresh[k] = not done[k]
+                if fresh.any():
+                    done |= fresh
+                    yield rows.filter(pa.array(fresh))
+            if hit.any():
+                yield batch.slice(m, j - m).filter(pa.array(hit))
 
-    found = dealt.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(tiles.mapInArrow(tidied(run), _TILE_SCHEMA), "suspects")
 
 
-def near_groups(docs: DataFrame, percent: int = QUERY.percent) -> DataFrame:
-    """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept."""
+class _Ask:
+    """One asking row of a tile with its full set."""
+
+    def __init__(self, rows: _Asked, k: int, own: np.ndarray):
+        self.rows, self.k, self.own = rows, k, own
+
+
+def _link_tiles(suspects: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+    """Links (u, v) that join components, verified on the full sets within their tile.
+
+    A tile keeps a union-find of the components it has met: a pair whose components are joined
+    already adds nothing, so a tile gives fewer links than it has components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, asks, joined = None, [], {}
+
+        def find(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for batch, now, i, m, j in _runs(batches, 4):
+            if now != tile:
+                tile, asks, joined = now, [], {}
+            data, offsets = buffers(batch.column(9).slice(i, j - i))
+            left, right = [], []
+            for a, b in row_blocks(offsets):
+                values, bounds = shingle_sets(data, offsets[a : b + 1])
+                part = _Asked(batch.slice(i + a, b - a), cut)
+                q = min(max(m - i - a, 0), b - a)  # rows of kind 0 in this block
+                asks += [_Ask(part, k, values[bounds[k] : bounds[k + 1]].copy()) for k in range(q)]
+                if q == b - a:
+                    continue
+                root = np.array([find(x) if t >= q else -1 for t, x in enumerate(part.root.tolist())], np.int64)
+                for ask in asks:
+                    mine = find(int(ask.rows.root[ask.k]))
+                    able = ask.rows.passing(ask.k, part, np.where(root < 0, mine, root), mine, now[0], cut)
+                    if not len(able):
+                        continue
+                    sizes = np.diff(bounds)[able]
+                    own = np.concatenate([values[bounds[t] : bounds[t + 1]] for t in able.tolist()])
+                    at = np.minimum(np.searchsorted(ask.own, own), len(ask.own) - 1)
+                    both = np.add.reduceat((ask.own[at] == own).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                    for t in able[100 * both >= cut.percent * (len(ask.own) + sizes - both)].tolist():
+                        if root[t] == mine:
+                            continue
+                        left.append(int(ask.rows.node[ask.k]))
+                        right.append(int(part.node[t]))
+                        kept, gone = min(mine, int(root[t])), max(mine, int(root[t]))
+                        joined[gone] = kept
+                        root[root == gone] = kept
+                        mine = kept
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    rows = _by_tile(suspects.join(texts, "node").select(*_TILE, "kind", "node", "root", "n", "bands", "text"))
+    return materialize(rows.mapInArrow(tidied(run), "u long, v long").distinct(), "links")
+
+
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes: the text of the row that stands for the node."""
+    wanted = materialize(nodes.select("node", "id", "h").join(wanted.distinct(), "node"), "wanted")
+    own = id_and_text(docs).select(ids_last(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("h"), "text")
+    return materialize(by_keys(own, wanted, ["id", "h"], "inner").select("node", "text"), "texts")
+
+
+def near_rows(docs: DataFrame, percent: int = QUERY.percent) -> DataFrame:
+    """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept, and stays, which holds for one row of each component."""
     cut = Cut(percent)
     rows = _sketch_rows(docs, cut)
     key = ["hi", "lo", "n"]
     nodes = materialize(
-        rows.filter("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min(F.struct(ids_last(F.col("doc_id")).alias("id"), "h", "row")).alias("least"), F.min_by("bands", "row").alias("bands")).select("node", "least.id", "least.h", *key, "bands"),
+        rows.filter("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min(F.struct(ids_last(F.col("doc_id")).alias("id"), "h", "row")).alias("least"), F.min_by("bands", "row").alias("bands")).select("node", "least.id", "least.h", F.col("least.row").alias("first"), *key, "bands"),
         "nodes",
     )
-    banded = nodes.select("node", F.posexplode("bands").alias("pos", "val"))
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("pos", "val"))
     shared = banded.groupBy("pos", "val").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(banded.join(shared, ["pos", "val"]), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("met"))
     placed = members.join(central, "node")
     centres = placed.groupBy("pos", "val").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
     stars = members.join(centres, ["pos", "val"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    tested = materialize(_passing(stars, nodes, cut), "tested")
-    links = _verify(tested, nodes, docs, cut)
+    links = _verify(materialize(_passing(stars, nodes, cut), "tested"), nodes, docs, cut)
     roots = components(links)
-    past = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(_across(members, nodes, roots, cut).join(past, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        roots = components(links.union(_verify(more, nodes, docs, cut)))
+    suspects = _suspects(_tiles(_mixed(members, roots), nodes), cut)
+    if not suspects.isEmpty():
+        more = _link_tiles(suspects, _texts(suspects.select("node"), nodes, docs), cut)
+        if not more.isEmpty():
+            roots = components(links.union(more))
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("id").alias("component"))
-    named = classes.join(least, "root").select(*key, "component")
-    found = rows.join(named, key, "left").withColumn("component_id", F.coalesce(F.when(F.col("component") == 2**63 - 1, None).otherwise(F.col("component")), "doc_id"))
-    return found.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    least = classes.groupBy("root").agg(F.min(F.struct("id", "first")).alias("least"))
+    named = classes.join(least, "root").select(*key, F.col("least.id").alias("component"), F.col("least.first").alias("stays_row"))
+    found = rows.join(named, key, "left").withColumn("component_id", F.coalesce(F.when(F.col("component") == NO_ID, None).otherwise(F.col("component")), "doc_id"))
+    stays = F.col("row") == F.coalesce("stays_row", "row")
+    kept = F.when(F.col("component_id").isNull(), stays).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), stays.alias("stays"))
+
+
+def near_groups(docs: DataFrame, percent: int = QUERY.percent) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    return near_rows(docs, percent).drop("h", "stays")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = QUERY.percent) -> DataFrame:
-    """One document of each group stays: the one with the group's smallest id."""
-    gone = materialize(near_groups(docs, percent).filter("NOT kept").select("doc_id", "h").distinct(), "gone")
-    return by_keys(docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), gone, ["doc_id", "h"], "left_anti").select(*docs.columns)
+    """One row of each group stays: the one with the group's smallest id; rows without words all stay.
+
+    Rows are found by doc_id and the text's hash. Where a staying row is repeated with its doc_id and text, one of them is taken.
+    """
+    id_col, h_col = free_names(docs, "id", "hash")
+    found = near_rows(docs, percent).groupBy(ids_last(F.col("doc_id")).alias(id_col), F.col("h").alias(h_col)).agg(F.sum(F.col("stays").cast("long")).alias("n_stay"), F.count("*").alias("n"))
+    changed = materialize(found.filter("n_stay < n"), "changed")
+    on = [id_col, h_col]
+    keyed = docs.withColumn(id_col, ids_last(F.col("doc_id").cast("long"))).withColumn(h_col, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rest = by_keys(keyed, changed.select(*on), on, "left_anti").select(*docs.columns)
+    repeated = changed.filter("n_stay > 0").select(*on)
+    if repeated.isEmpty():
+        return rest
+    return rest.union(by_keys(keyed, repeated, on).dropDuplicates(on).select(*docs.columns))

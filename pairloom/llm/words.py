@@ -64,13 +64,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def row_blocks(offsets: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """(first, end) rows of about limit bytes; a longer text is alone."""
+def row_blocks(offsets: np.ndarray, limit: int = 2_000_000, rows: int = 2_000) -> Iterator[tuple[int, int]]:
+    """(first, end) rows of about limit bytes and at most so many rows; a longer text is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1), i + rows, n)
+        yield i, j
+        i = j
 
 
 class Words:

@@ -8,7 +8,8 @@ neighbours in time, and pairs each peak with the next three within 32 frames. A
 as one long: anchor frame << 32 | f1 << 16 | f2 << 8 | distance.
 
 Null texts are empty (64 zero bytes). Equal texts give equal values; long ones are transformed
-some thousand frames at a time.
+some hundred frames at a time. Repeated rows give repeated rows, an empty table an empty result, and
+columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairloom.llm.tables import id_and_text
+from pairloom.llm.tables import id_and_text, tidied
 
 UNIT = 64
 RATE = 8000
@@ -33,7 +34,7 @@ BANDS = ((2, 12), (12, 28), (28, 60), (60, 129))
 ABOVE_MEAN = 2.0
 PARTNERS, REACH = 3, 32
 _WINDOW = np.hanning(FRAME).astype(np.float32)
-_BLOCK = 4096
+_BLOCK = 1024
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -87,33 +88,61 @@ def fingerprint(payload: bytes) -> np.ndarray:
     return np.sort(np.concatenate(out))
 
 
+#: Rows that are held at a time, whatever the size of Arrow's batches.
+_ROWS = 200
+_READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint"]
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+_READ_SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<long>"
+
+
+def _features(stored: list[bytes]) -> list[pa.Array]:
+    """The columns of _READ, from stored files alone."""
+    rows = []
+    for data in stored:
+        payload = from_wav(data)
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), fingerprint(payload)))
+    return [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)]
+
+
+def _store(texts: pa.Array) -> tuple[pa.Array, list[bytes]]:
+    raw = texts.cast(pa.binary()).to_pylist()
+    return pa.array(map(len, raw), pa.int64()), [to_wav(padded(x)) for x in raw]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (a WAV file in a binary column)."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                raw = part.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([to_wav(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in _parts(batches):
+            sizes, stored = _store(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return id_and_text(docs).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return id_and_text(docs).mapInArrow(tidied(store), "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, digests of the samples read back and of the stored form, and the fingerprint."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for stored in part.column(2).to_pylist():
-                    payload = from_wav(stored)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), fingerprint(payload)))
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<long>")
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_features(part.column(2).to_pylist())], ["doc_id", "n_bytes", *_READ])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(read), f"doc_id long, n_bytes long, {_READ_SCHEMA}")
+
+
+def media_features(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """read_media(to_media(docs)) in one pass, so that files needn't leave the worker that wrote them; with keep, the files (column media) too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            sizes, stored = _store(part.column(1))
+            columns = [part.column(0), sizes, *_features(stored)] + [pa.array(stored, pa.binary())] * keep
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", *_READ] + ["media"] * keep)
+
+    return id_and_text(docs).mapInArrow(tidied(run), f"doc_id long, n_bytes long, {_READ_SCHEMA}" + ", media binary" * keep)

@@ -22,14 +22,14 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), spans=True)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.read_media(media.to_media(table(spark, sf_dir, "documents")))
+    read = media.media_features(table(spark, sf_dir, "documents"))
     coded = F.array_join(F.transform("fingerprint", lambda x: x.cast("string")), ",")
-    return read.withColumn("feature", F.concat_ws(":", F.size("fingerprint").cast("string"), F.md5(coded))).drop("fingerprint")
+    return read.withColumn("feature", F.concat_ws(":", F.size("fingerprint").cast("string"), F.md5(coded)))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("h")
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,15 +43,24 @@ def forest_search(train: DataFrame, columns: list[str], trees=(100, 200, 300), d
     return CrossValidator(estimator=_pipeline(columns, model), estimatorParamMaps=grid, evaluator=f1_of_positives(), numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
 
 
-def boosted_search(train: DataFrame, columns: list[str], draws: int = 100, folds: int = 3, parallelism: int = 4, seed: int = 0):
+def boosted_search(train: DataFrame, columns: list[str], draws: int = 100, folds: int = 3, parallelism: int = 4, seed: int = 0, rounds=(50, 100, 200), depths=(3, 5, 7)):
     """Random search over rounds, depth, step, row share and minimum gain."""
     model = GBTClassifier(labelCol="label", seed=seed)
-    space = list(itertools.product((50, 100, 200), (3, 5, 7), (0.01, 0.05, 0.1, 0.2), (0.6, 0.8, 1.0), (0.0, 0.01, 0.1)))
+    space = list(itertools.product(rounds, depths, (0.01, 0.05, 0.1, 0.2), (0.6, 0.8, 1.0), (0.0, 0.01, 0.1)))
     params = (model.maxIter, model.maxDepth, model.stepSize, model.subsamplingRate, model.minInfoGain)
     grid = [dict(zip(params, point)) for point in random.Random(seed).sample(space, min(draws, len(space)))]
     return CrossValidator(estimator=_pipeline(columns, model), estimatorParamMaps=grid, evaluator=f1_of_positives(), numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
 
 
+def search_table(found) -> DataFrame:
+    """(point, f1) of each point that a search tried, best first: the points are as few as the search's grid."""
+    from pyspark.sql import SparkSession
+
+    name = lambda grid: ", ".join(f"{p.name}={v}" for p, v in sorted(grid.items(), key=lambda x: x[0].name))
+    rows = [(name(grid), float(f1)) for grid, f1 in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
+    return SparkSession.active().createDataFrame(rows, "point string, f1 double").orderBy(F.col("f1").desc(), "point")
+
+
 def probabilities(model, frame: DataFrame) -> DataFrame:
     """frame with score, the probability of class 1."""
     return model.transform(frame).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.operators.order import numbered
+
 SNIPPET = "idx string, func string"
 PAIR_JSON = "code1 string, code2 string, score int"
 CURATED = "id string, language string, clone_type int, label int, code_a string, code_b string, explanation string"
@@ -12,12 +14,13 @@ WIDTH = 22
 
 
 def snippets(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """One JSON object a line. Of a repeated idx the last line counts; strict fails on malformed lines or missing keys."""
+    """One JSON object a line. Of a repeated idx the last line counts, of several files that of the last path; strict fails on malformed lines or missing keys."""
     raw = spark.read.schema(SNIPPET).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
     if strict:
         return raw.withColumn("idx", F.coalesce("idx", F.raise_error(F.lit("snippet without idx")).cast("string"))).withColumn("func", F.coalesce("func", F.raise_error(F.lit("snippet without func")).cast("string")))
-    # The identifier grows with the lines of a file.
-    return raw.withColumn("__at", F.monotonically_increasing_id()).groupBy("idx").agg(F.max_by("func", "__at").alias("func"))
+    # Blocks of a file may be read in any order; within a block the identifier grows with the lines.
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return raw.withColumn("__at", at).groupBy("idx").agg(F.max_by("func", "__at").alias("func"))
 
 
 def pair_list(spark: SparkSession, path: str, tabs: bool = False) -> DataFrame:
@@ -69,4 +72,4 @@ def feature_rows(spark: SparkSession, path: str, mode: str = "skip", max_rows: i
 
 def ranked_lines(frame: DataFrame, *keys: str) -> DataFrame:
     """Numbers rows by a stable order, for splits and samples."""
-    return frame.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    return numbered(frame, "rank", *map(F.col, keys))

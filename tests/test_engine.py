@@ -3,12 +3,16 @@
 import json
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from pairloom.operators import ensemble, evaluate, learn, pairs
+from pairloom.functions import probes
+from pairloom.operators import ensemble, evaluate, learn, pairs, vectors
 from pairloom.plans import catalog
 from pairloom.sources import scans, sinks
 from pairloom.streaming.scoring import score_stream
@@ -30,6 +34,124 @@ def test_toy_auc_and_threshold(spark):
     assert evaluate.best_f1(b).first().threshold == 0.8
 
 
+def test_sweeps_equal_plain_ones_over_many_scores(spark):
+    """Thousands of distinct scores in several buckets, ties, and a measure with few."""
+    rng = random.Random(4)
+    rows = [(m, round(rng.random(), d), int(rng.random() < 0.4)) for m, d, n in (("many", 6, 3000), ("some", 2, 800), ("one", 0, 50)) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "measure string, score double, label int").repartition(6)
+    swept = {(r.measure, r.threshold): (r.tp, r.tn, r.fp, r.fn) for r in evaluate.sweep(frame).collect()}
+    found = {n: {r.measure: r for r in getattr(evaluate, n)(frame).collect()} for n in ("roc_auc", "best_f1", "youden", "pr_auc")}
+    for name in ("many", "some", "one"):
+        own = [(s, y) for m, s, y in rows if m == name]
+        p, n = sum(y for _, y in own), sum(1 - y for _, y in own)
+        at = {}
+        for t in {s for s, _ in own}:
+            tp, fp = sum(y for s, y in own if s >= t), sum(1 - y for s, y in own if s >= t)
+            at[t] = (tp, n - fp, fp, p - tp)
+        assert at == {t: v for (m, t), v in swept.items() if m == name}
+        wins = sum((a > b) + 0.5 * (a == b) for a, y in own if y for b, z in own if not z)
+        assert found["roc_auc"][name].auc == pytest.approx(wins / (p * n))
+        f1 = lambda v: round(2 * v[0] / (2 * v[0] + v[2] + v[3]), 12)
+        assert found["best_f1"][name].threshold == max(at, key=lambda t: (f1(at[t]), t))
+        assert found["youden"][name].j == pytest.approx(max(0, *(v[0] / p - v[2] / n for v in at.values())))
+        last, area = 0.0, 0.0
+        for t in sorted(at, reverse=True):
+            tp, _, fp, _ = at[t]
+            area, last = area + (tp / p - last) * tp / (tp + fp), tp / p
+        assert found["pr_auc"][name].average_precision == pytest.approx(area)
+
+
+def test_row_numbers_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(50), i, "x") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k int, i int, range_0 string").repartition(7)
+    got = scans.ranked_lines(frame, "k", "i").collect()
+    assert [(r.k, r.i) for r in sorted(got, key=lambda r: r.rank)] == sorted((k, i) for k, i, _ in rows) and sorted(r.rank for r in got) == list(range(1, 2001))
+    assert scans.ranked_lines(frame.limit(0), "k").count() == 0
+
+
+def test_repeated_splits_equal_plain_ones(spark):
+    rng = random.Random(7)
+    rows = [(i, round(rng.random() * 0.6 + y * 0.4, 3), round(rng.random(), 3), y) for i in range(300) for y in [int(rng.random() < 0.5)]]
+    frame = spark.createDataFrame(rows, "id int, a double, b double, label int")
+
+    def f1(own, t):
+        tp, fp, fn = (sum(1 for s, y in own if (s >= t) == hit and y == real) for hit, real in ((True, 1), (True, 0), (False, 1)))
+        return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+    top = lambda own: max({s for s, _ in own}, key=lambda t: (round(f1(own, t), 12), t))
+    got = {(r.seed, r.system): r.f1 for r in evaluate.repeated_splits(frame, ["id"], ["a", "b"], splits=2).collect()}
+    for seed in range(2):
+        side = {r.id: r.split for r in ensemble.split_train_test(frame, ["id"], 0.3, seed).collect()}
+        train, test = ([r for r in rows if side[r[0]] == s] for s in ("train", "test"))
+        a, t = [(r[1], r[3]) for r in train], [(r[1], r[3]) for r in test]
+        assert got[seed, "best_single"] == pytest.approx(f1(t, top(a)))
+        lo, hi = ([f(r[k] for r in train) for k in (1, 2)] for f in (min, max))
+        mean = lambda r: sum((r[k + 1] - lo[k]) / (hi[k] - lo[k]) for k in (0, 1)) / 2
+        on_train, on_test = ([(mean(r), r[3]) for r in x] for x in (train, test))
+        assert got[seed, "mean"] == pytest.approx(f1(on_test, top(on_train)), abs=0.02)
+        assert got[seed, "logreg"] > 0.6
+    single = evaluate.best_single(frame, ["id"], ["a", "b"]).first()
+    assert single.measure == "a" and single.f1 == pytest.approx(got[0, "best_single"])
+    summary = {r.system: r for r in evaluate.split_summary(spark.createDataFrame([(0, "m", 0.5), (1, "m", 0.7)], "seed int, system string, f1 double"), "system", "f1").collect()}
+    assert summary["m"]["mean"] == pytest.approx(0.6) and summary["m"]["std"] == pytest.approx(0.1)
+
+
+def test_searches_find_the_better_point(spark):
+    rows = [(i % 10 / 10, (i * 7) % 10 / 10, float((i % 10 >= 5) != ((i * 7) % 10 >= 5))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "a double, b double, label double")
+    found = learn.search_table(learn.forest_search(frame, ["a", "b"], trees=(5,), depths=(1, 5), least=(1,), folds=2)).collect()
+    assert len(found) == 2 and "maxDepth=5" in found[0].point and found[0].f1 > found[1].f1
+    found = learn.search_table(learn.boosted_search(frame, ["a", "b"], draws=2, folds=2, rounds=(2,), depths=(2,))).collect()
+    assert len(found) == 2 and found[0].f1 >= found[1].f1
+
+
+def test_scans_of_several_files(spark, tmp_path):
+    os.makedirs(tmp_path / "s")
+    for name, func in (("a.jsonl", "old"), ("b.jsonl", "new")):
+        (tmp_path / "s" / name).write_text("".join(json.dumps({"idx": str(i), "func": f"{func}{k}{i}"}) + "\n" for k in range(2) for i in range(50)))
+    own = {r.idx: r.func for r in scans.snippets(spark, str(tmp_path / "s")).collect()}
+    assert own == {str(i): f"new1{i}" for i in range(50)}
+    (tmp_path / "bad.jsonl").write_text('{"idx": "1"}\n')
+    with pytest.raises(Exception, match="without func"):
+        scans.snippets(spark, str(tmp_path / "bad.jsonl"), strict=True).collect()
+    (tmp_path / "tabs.txt").write_text("x 1\ty\t1\n")
+    (row,) = scans.pair_list(spark, str(tmp_path / "tabs.txt"), tabs=True).collect()
+    assert tuple(row) == ("x 1", "y", 1)
+    (tmp_path / "pairs.json").write_text(json.dumps([{"code1": "a", "code2": "b", "score": 1}, {"code1": "c", "code2": "d", "score": 0}]))
+    pairs_of = scans.pair_json(spark, str(tmp_path / "pairs.json"))
+    assert sorted(tuple(r) for r in pairs_of.collect()) == [("a", "b", 1), ("c", "d", 0)]
+    sinks.write_json(pairs_of, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_given_embeddings_and_saved_models(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    frame = spark.createDataFrame([("aab", "aab"), ("ab", "ba"), ("a", "b"), (None, "a")], "code1 string, code2 string")
+
+    def provider():
+        import numpy as np
+
+        return lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts])
+
+    got = [r.score for r in vectors.provided_cosine(frame, provider).collect()]
+    assert got == pytest.approx([1.0, 1.0, 0.0, 0.0])
+    rows = spark.createDataFrame([(float(i % 2), i % 2 * 0.9, float(i % 2)) for i in range(40)], "a double, b double, label double")
+    model = learn.logistic(rows, ["a", "b"])
+    sinks.save_model(model, str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert learn.probabilities(again, rows).select("score").collect() == learn.probabilities(model, rows).select("score").collect()
+    logits = spark.createDataFrame([([0.1, 0.9],), ([2.0, 2.0],)], "logits array<double>")
+    assert [r.y for r in logits.select(learn.argmax_label().alias("y")).collect()] == [1, 0]
+
+
+def test_probes(spark):
+    frame = spark.createDataFrame([("int größe = 1;\nx",)], "c string")
+    got = frame.select(*(f(F.col("c")).alias(n) for n, f in probes.PROBES.items())).first()
+    assert got.renamed == "int größe_x = 1;\nx" and got.reordered == "x\nint größe = 1;" and got.doubled_spaces == "int  größe  =  1;\nx"
+
+
 def test_one_class_auc_is_nan_and_youden_can_be_infinite(spark):
     assert math.isnan(evaluate.roc_auc(long_scores(spark, [(0.5, 1), (0.6, 1)])).first().auc)
     assert math.isinf(evaluate.youden(long_scores(spark, [(0.9, 0), (0.1, 1)])).first().threshold)
@@ -86,7 +208,7 @@ def test_ensembles_and_splits(spark):
     assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 7, "valid": 1, "test": 2}
     assert ensemble.sample_exact(frame, ["id"], 4).count() == 4
     told = ensemble.explanation_text(ensemble.explain(frame, ["a", "b", "c"])).filter("id = 0").first()
-    assert told.verdict == "CLONE" and told.supporting == ["b", "c"] and told.uncertain and "Verdict" in told.markdown
+    assert told.verdict == "CLONE" and told.supporting == ["b", "c"] and told.uncertain and "CLONE" in told.markdown and "For: b, c" in told.markdown
 
 
 def test_learned_ensemble(spark):

@@ -40,10 +40,14 @@ SHARED_KEYWORDS = (
     "import package from as extends implements super this self null none true false and or not in is global nonlocal assert del"
 ).split()
 # Patterns.
-CALL = r"\b(\w+)\s*\("
+CALL = rf"({T.WORD_CHAR}+){T.SPACE}*\("
 COMMENT = r"(?s)//.*?\n|/\*.*?\*/"
-DECLARATION = r"\b(public|protected|private|static)\s+[\w<>\[\]]+\s+\w+\s*\("
+NAMED = rf"[\p{{L}}\p{{N}}_<>\[\]]+{T.SPACE}+"
+DECLARATION = rf"(?:public|protected|private|static){T.SPACE}+{NAMED}{T.WORD_CHAR}+{T.SPACE}*\("
+METHOD = rf"public{T.SPACE}+(?:{NAMED})+?({T.WORD_CHAR}+){T.SPACE}*\("
 TOKEN = r"""[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+\.?\p{Nd}*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^ \t\n\f\r\x0BA-Za-z0-9_]"""
+#: No word character before.
+APART = rf"(?<!{T.WORD_CHAR})"
 WINDOW, GRAM, LONG_GRAM = 10, 5, 15
 
 
@@ -89,10 +93,13 @@ def _lev(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(1 - T.ratio(F.levenshtein(a, b), longest))
 
 
+METRIC_NAMES = ("lines", "keywords", "loops", "conditionals", "methods", "depth")
+
+
 def code_metrics(c: Column) -> Column:
     """Lines, keywords, loops, conditionals, method declarations, brace depth."""
     summed = lambda keys: sum((T.substring_count(c, k) for k in keys), F.lit(0.0))
-    parts = [F.size(F.split(c, "\n", -1)), summed(JAVA_KEYWORDS), summed(["for", "while"]), summed(["if", "else", "switch"]), F.regexp_count(c, F.lit(DECLARATION)), T.max_depth(c, "{", "}")]
+    parts = [F.size(F.split(c, "\n", -1)), summed(JAVA_KEYWORDS), summed(["for", "while"]), summed(["if", "else", "switch"]), F.regexp_count(c, F.lit(APART + DECLARATION)), T.max_depth(c, "{", "}")]
     return F.array(*(p.cast("double") for p in parts))
 
 

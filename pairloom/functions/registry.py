@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,19 +13,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pairloom.functions import native, sequences
-from pairloom.session import ship_package
+from pairloom.session import materialize, ship_package
 
-#: The order of a feature row's columns.
+# The order of a feature row's columns.
 ORDER = ["ast", "bow", "codebert", "comments", "exe", "fcall", "fuzz", "graph", "hashing", "image", "jaccard", "lcs", "lev", "metrics", "ngrams", "pdg", "rk", "semclone", "semdiff", "tdf", "winn"]
 TEACHING_ORDER = ["edu_jaccard_tokens", "edu_ngram_cosine", "edu_sequence_ratio", "edu_levenshtein_ratio", "edu_lcs_ratio", "edu_token_kind_cosine", "edu_normalized_jaccard", "edu_metrics_cosine"]
 
 
-def arrow_measure(score: Callable[[str, str], float], on_error: float | None = 0.0) -> Callable[[Column, Column], Column]:
-    """An Arrow-batched measure; a pair whose score raises gets on_error, or fails the query where that is None."""
+#: Seconds that a pair may take.
+LIMIT = 20.0
+
+
+@contextmanager
+def time_limit(seconds: float | None):
+    """Raises TimeoutError in the block after so many seconds; without effect outside of a process's main thread, where no signal can be caught."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def arrow_measure(score: Callable[[str, str], float], on_error: float | None = 0.0, limit: float | None = LIMIT) -> Callable[[Column, Column], Column]:
+    """An Arrow-batched measure; a pair whose score raises, or takes more than limit seconds, gets on_error, or fails the query where that is None."""
 
     def safe(a, b):
         try:
-            return float(score(a or "", b or ""))
+            with time_limit(limit):
+                return float(score(a or "", b or ""))
         except Exception:
             if on_error is None:
                 raise
@@ -61,10 +88,27 @@ def score(pairs: DataFrame, wanted: list[str], on_error: float | None = 0.0) ->
     return pairs.withColumns({n: measure(n, on_error)(a, b).cast("double") for n in wanted})
 
 
+def features(snippets: DataFrame, wanted: list[str], key: list[str], text: str = "func") -> DataFrame:
+    """key columns with the native measures' features (f_<measure>), made once a snippet on all cores and written to the shared folder."""
+    spark = snippets.sparkSession
+    table = native.MEASURES | native.TEACHING
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = snippets.select(*key, F.coalesce(F.col(text), F.lit("")).alias("__text")).repartition(n)
+    return materialize(own.select(*key, *(table[m].features(F.col("__text")).alias(f"f_{m}") for m in wanted)), "features")
+
+
+def combine(joined: DataFrame, wanted: list[str], keep: list[str]) -> DataFrame:
+    """keep and a column for each measure from the columns a_<measure> and b_<measure>."""
+    table = native.MEASURES | native.TEACHING
+    return joined.select(*keep, *(table[m].combine(F.col(f"a_{m}"), F.col(f"b_{m}")).cast("double").alias(m) for m in wanted))
+
+
 def score_snippets(snippets: DataFrame, pairs: DataFrame, wanted: list[str]) -> DataFrame:
-    """As score(), for native measures over (idx, func) and pairs (id1, id2, ...): features are made once a snippet, before the join."""
-    own = snippets.select("idx", *(native.MEASURES[n].features(F.coalesce("func", F.lit(""))).alias(n) for n in wanted))
-    left = own.select(F.col("idx").alias("id1"), *(F.col(n).alias(f"__a_{n}") for n in wanted))
-    right = own.select(F.col("idx").alias("id2"), *(F.col(n).alias(f"__b_{n}") for n in wanted))
-    joined = pairs.join(left, "id1").join(right, "id2")
-    return joined.select(*pairs.columns, *(native.MEASURES[n].combine(F.col(f"__a_{n}"), F.col(f"__b_{n}")).alias(n) for n in wanted))
+    """As score(), for native measures over (idx, func) and pairs (id1, id2, ...): features are made once a snippet, before the join.
+
+    Pairs that lack a snippet, or have an empty one, drop out. Both joins are dealt out over all cores by the snippet's key.
+    """
+    ship_package(pairs.sparkSession)
+    own = features(snippets.filter("func <> ''"), wanted, ["idx"])
+    side = lambda k, i: own.select(F.col("idx").alias(f"id{i}"), *(F.col(f"f_{m}").alias(f"{k}_{m}") for m in wanted))
+    return combine(pairs.join(side("a", 1), "id1").join(side("b", 2), "id2"), wanted, pairs.columns)

@@ -21,6 +21,7 @@ _LEXER = re.compile(
 _DECLARING = frozenset("abstract class enum extends final implements import interface native package private protected public static strictfp synchronized throws transient volatile".split())
 _TYPES = frozenset("boolean byte char double float int long short void".split())
 _CONSTANTS = frozenset("true false null".split())
+# Fixed value: the pattern of the teaching measures' tokens.
 _TOKEN = re.compile(r"""[A-Za-z_]\w*|\d+\.?\d*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^\sA-Za-z0-9_]""")
 
 
@@ -84,14 +85,27 @@ def semdiff(a: str, b: str) -> float:
     return 1 - (len(added) + len(removed)) / (a.count("\n") + b.count("\n") + 2)
 
 
-def run_lengths(a: list, b: list) -> np.ndarray:
-    """m[i, j]: length of the common run that ends at a[i - 1], b[j - 1]."""
-    number = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([number[t] for t in a], int), np.array([number[t] for t in b], int)
-    m = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a)):
-        m[i + 1, 1:] = np.where(y == x[i], m[i, :-1] + 1, 0)
-    return m
+def common_runs(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, n) of each pair of equal elements, in row order: n is the length of the common run that ends at a[i], b[j]. Memory follows the equal pairs, not the product of the lengths."""
+    places: dict = {}
+    for j, t in enumerate(b):
+        places.setdefault(t, []).append(j)
+    places = {t: np.array(p) for t, p in places.items()}
+    none = np.zeros(0, int)
+    rows, columns, lengths = [], [], []
+    before, runs = none, none
+    for i, t in enumerate(a):
+        own = places.get(t, none)
+        if len(before) and len(own):
+            at = np.minimum(np.searchsorted(before, own - 1), len(before) - 1)
+            runs = np.where(before[at] == own - 1, runs[at] + 1, 1)
+        else:
+            runs = np.ones(len(own), int)
+        before = own
+        rows.append(np.full(len(own), i))
+        columns.append(own)
+        lengths.append(runs)
+    return (np.concatenate(x) if x else none for x in (rows, columns, lengths))
 
 
 def rk(a: str, b: str) -> float:
@@ -99,15 +113,20 @@ def rk(a: str, b: str) -> float:
     x, y = a.split(), b.split()
     if not x and not y:
         return 0.0
-    m, total = run_lengths(x, y), 0
-    while True:
-        at = int(m.argmax())
-        i, j = divmod(at, m.shape[1])
-        size = int(m[i, j])
-        if size == 0:
-            return 2 * total / (len(x) + len(y))
-        total += size
-        m[i - size + 1 : i + 1, j - size + 1 : j + 1] = 0
+    i, j, n = common_runs(x, y)
+    flat = i * len(y) + j
+    free, total = np.ones(len(n), bool), 0
+    order = np.lexsort((flat, -n))
+    for k in order[: int((n > 1).sum())].tolist():
+        if free[k]:
+            size = int(n[k])
+            total += size
+            for row in range(int(i[k]) - size + 1, int(i[k]) + 1):
+                low = row * len(y) + int(j[k])
+                free[np.searchsorted(flat, low - size + 1) : np.searchsorted(flat, low, "right")] = False
+    # A run of one clears only itself.
+    total += int((free & (n == 1)).sum())
+    return 2 * total / (len(x) + len(y))
 
 
 _MOD = 1_000_000_007

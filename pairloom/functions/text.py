@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word character as in Unicode regular expressions of Python.
 WORD_CHAR = r"[\p{L}\p{N}_]"
+#: A character that Python's split() and \s take for white space.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -26,7 +28,7 @@ def words(text: Column, least: int = 1) -> Column:
 
 def blank_split(text: Column) -> Column:
     """Tokens between white space, without empty ones."""
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(text, f"{SPACE}+"), lambda t: t != "")
 
 
 def char_grams(text: Column, n: int) -> Column:

@@ -32,30 +32,47 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("code1", "code2")})
 
 
+def cores(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_out(frame: DataFrame) -> DataFrame:
-    """Sequence measures cost far more a row than reading does: rows go to every core."""
-    return frame.repartition(max(frame.sparkSession.sparkContext.defaultParallelism, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Measures cost far more a row than reading does: rows go to every core."""
+    return frame.repartition(cores(frame.sparkSession))
 
 
 def rounded(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def native_scores(spark: SparkSession, sf_dir: str, wanted: list[str]) -> DataFrame:
+    """(conv_id, turn, label, measures...): features once a turn; two turns' features meet by identifiers, on all cores, since combining them is work too."""
+    turns = read(spark, sf_dir, "conversations")
+    own = registry.features(turns, wanted, ["conv_id", "turn", "role"], "text")
+    side = lambda k: [F.col(f"f_{m}").alias(f"{k}_{m}") for m in wanted]
+    first = own.select("conv_id", "turn", (F.col("role") == "user").cast("int").alias("label"), *side("a"))
+    second = own.select("conv_id", (F.col("turn") - 1).alias("turn"), *side("b"))
+    dealt = lambda x: x.repartition(cores(spark), "conv_id", "turn")
+    return registry.combine(dealt(first).join(dealt(second), ["conv_id", "turn"]), wanted, ["conv_id", "turn", "label"])
+
+
 def measure_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = pairs(spark, sf_dir)
-        if name not in native.MEASURES and name not in native.TEACHING:
-            own = spread_out(own)
         if name == "lev":  # DuckDB's distance counts bytes: both sides compare ASCII
-            own = own.withColumns({c: F.regexp_replace(c, r"[^\x00-\x7F]", "") for c in ("code1", "code2")})
-        return registry.score(own, [name]).select("conv_id", "turn", F.round(F.col(name), 6).alias("score"))
+            own = spread_out(pairs(spark, sf_dir).withColumns({c: F.regexp_replace(c, r"[^\x00-\x7F]", "") for c in ("code1", "code2")}))
+            scored = registry.score(own, [name])
+        elif name in native.MEASURES or name in native.TEACHING:
+            scored = native_scores(spark, sf_dir, [name])
+        else:
+            scored = registry.score(spread_out(pairs(spark, sf_dir)), [name])
+        return scored.select("conv_id", "turn", F.round(F.col(name), 6).alias("score"))
 
     return run
 
 
 def lev_whole(spark, sf_dir):
     """Edit distance by code points over whole texts; DuckDB's counts bytes, so there is no SQL for it."""
-    return registry.score(pairs(spark, sf_dir), ["lev"]).select("conv_id", "turn", F.round("lev", 6).alias("score"))
+    return registry.score(spread_out(pairs(spark, sf_dir)), ["lev"]).select("conv_id", "turn", F.round("lev", 6).alias("score"))
 
 
 def exe_zero(spark, sf_dir):
@@ -81,8 +98,8 @@ def embedding_cosine(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    scored = registry.score(pairs(spark, sf_dir), ["bow", "jaccard", "ngrams", "winn"])
-    out = rounded(scored.select("conv_id", "turn", "label", "bow", "jaccard", "ngrams", "winn"), "bow", "jaccard", "ngrams", "winn")
+    scored = native_scores(spark, sf_dir, ["bow", "jaccard", "ngrams", "winn"])
+    out = rounded(scored, "bow", "jaccard", "ngrams", "winn")
     return out.withColumn("mean", F.round((F.col("bow") + F.col("jaccard") + F.col("ngrams") + F.col("winn")) / 4, 4))
 
 
@@ -98,13 +115,60 @@ def pair_join(spark, sf_dir):
 
 
 def method_names(spark, sf_dir):
-    found = T.find_all(F.col("code1"), r"\bpublic\b\s+(?:[\w<>\[\]]+\s+)+?(\w+)\s*\(", 1)
+    found = T.find_all(F.col("code1"), native.APART + native.METHOD, 1)
     return pairs(spark, sf_dir).select("conv_id", "turn", F.size(found).cast("long").alias("n"))
 
 
 def code_metrics(spark, sf_dir):
     v = native.code_metrics(F.col("code1"))
-    return pairs(spark, sf_dir).select("conv_id", "turn", v[0].alias("lines"), F.round(v[1], 6).alias("keywords"))
+    own = spread_out(pairs(spark, sf_dir)).select("conv_id", "turn", v.alias("v"))
+    return own.select("conv_id", "turn", *(F.round(F.get("v", F.lit(i)), 6).alias(n) for i, n in enumerate(native.METRIC_NAMES)))
+
+
+def graph_edges(spark, sf_dir):
+    """The edges of each first turn's token graph."""
+    own = pairs(spark, sf_dir).withColumn("t", T.blank_split(F.col("code1")))
+    edge = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.size("t")), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+    return own.select("conv_id", "turn", F.explode(F.array_distinct(edge)).alias("e")).select("conv_id", "turn", "e.src", "e.dst")
+
+
+def snippet_scores(spark, sf_dir):
+    """The batch run: snippets by identifier, listed pairs, features once a snippet, scores."""
+    turns = read(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    snippets = turns.select(name(F.col("turn")).alias("idx"), F.col("text").alias("func"))
+    listed = pairs(spark, sf_dir).select(name(F.col("turn")).alias("id1"), name(F.col("turn") + 1).alias("id2"), "label")
+    wanted = ["fcall", "graph", "jaccard"]
+    return rounded(registry.score_snippets(snippets, listed, wanted), *wanted)
+
+
+def semclone_flag(spark, sf_dir):
+    """Whether both texts declare a public method of one name and are alike."""
+    from pairloom.functions.sequences import shares_method
+
+    own = spread_out(pairs(spark, sf_dir))
+    flag = registry.arrow_measure(lambda a, b: float(shares_method(a, b)))
+    return own.select("conv_id", "turn", (flag(F.col("code1"), F.col("code2")) == 1).alias("clone"))
+
+
+def semantic_diff(spark, sf_dir):
+    """Added and removed lines of each pair, as counts."""
+    from pairloom.functions.sequences import line_changes
+
+    own = spread_out(pairs(spark, sf_dir))
+    count = lambda k: registry.arrow_measure(lambda a, b: float(len(line_changes(a, b)[k])))(F.col("code1"), F.col("code2")).cast("long")
+    return own.select("conv_id", "turn", count(0).alias("added"), count(1).alias("removed"))
+
+
+def robustness(spark, sf_dir):
+    """Mean score of each native measure between a text and what a probe makes of it: how far formatting, comments and added lines move it."""
+    from pairloom.functions.probes import PROBES
+
+    wanted = ["bow", "jaccard", "graph", "metrics", "ngrams", "winn"]
+    texts = read(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("code1")).filter("code1 <> ''")
+    probe = F.explode(F.array(*(F.struct(F.lit(n).alias("probe"), f(F.col("code1")).alias("code2")) for n, f in PROBES.items())))
+    scored = registry.score(spread_out(texts.select("code1", probe.alias("p")).select("code1", "p.*")), wanted)
+    return rounded(scored.groupBy("probe").agg(*(F.avg(m).alias(m) for m in wanted)), *wanted)
 
 
 def token_graph(spark, sf_dir):
@@ -168,6 +232,41 @@ def by_type(spark, sf_dir):
     return rounded(evaluate.by_type(own, "kind", 0.05), *RATES)
 
 
+def three_way(spark, sf_dir):
+    return ensemble.three_way(wide(spark, sf_dir), IDS, seed=SEED).select(*IDS, "split")
+
+
+def best_single(spark, sf_dir):
+    return rounded(evaluate.best_single(wide(spark, sf_dir), IDS, COLUMNS, seed=SEED), *RATES)
+
+
+def repeated_splits(spark, sf_dir):
+    """Held-out F1 of the best single measure, the mean ensemble and a logistic regression over five splits."""
+    found = evaluate.repeated_splits(wide(spark, sf_dir), IDS, COLUMNS)
+    return rounded(evaluate.split_summary(found, "system", "f1"), "mean", "std")
+
+
+def logit_metrics(spark, sf_dir):
+    """Metrics of the classes that two logits name."""
+    own = wide(spark, sf_dir).withColumn("logits", F.array("s1", "s2"))
+    scored = own.select(F.lit("logits").alias("measure"), learn.argmax_label().cast("double").alias("score"), "label")
+    return rounded(evaluate.metrics_at(scored, 0.5).drop("threshold"), *RATES)
+
+
+def forest_search(spark, sf_dir):
+    """A small grid over the train rows; the operator's own grid is larger."""
+    own = ensemble.split_train_test(wide(spark, sf_dir).withColumn("label", F.col("label").cast("double")), IDS, seed=SEED)
+    found = learn.forest_search(own.filter("split = 'train'"), COLUMNS, trees=(4, 8), depths=(2, 4), least=(2,), folds=2, seed=SEED)
+    return rounded(learn.search_table(found), "f1")
+
+
+def boosted_search(spark, sf_dir):
+    """Two draws over the train rows; the operator's own number is larger."""
+    own = ensemble.split_train_test(wide(spark, sf_dir).withColumn("label", F.col("label").cast("double")), IDS, seed=SEED)
+    found = learn.boosted_search(own.filter("split = 'train'"), COLUMNS, draws=2, folds=2, seed=SEED, rounds=(2, 4), depths=(2, 3))
+    return rounded(learn.search_table(found), "f1")
+
+
 def split_train_test(spark, sf_dir):
     return ensemble.split_train_test(wide(spark, sf_dir), IDS, seed=SEED).select(*IDS, "split")
 
@@ -222,11 +321,12 @@ QUERIES: dict = {n: measure_query(n) for n in registry.names() if n != "exe"} |
 QUERIES |= {
     f.__name__: f
     for f in (
-        lev_whole, exe_zero, exe_outputs, comments_w2v, embedding_cosine, flagship, feature_rows, pair_join, method_names, code_metrics, token_graph, confusion, metrics_at, roc_auc,
+        lev_whole, exe_zero, exe_outputs, comments_w2v, embedding_cosine, flagship, feature_rows, pair_join, method_names, code_metrics, token_graph, graph_edges, snippet_scores, semclone_flag, semantic_diff,
+        robustness, three_way, best_single, repeated_splits, logit_metrics, forest_search, boosted_search, confusion, metrics_at, roc_auc,
         youden_threshold, best_f1_threshold, leaderboard, pr_auc, separation, corr_pairs, label_balance, by_type, split_train_test, sample_exact_k, minmax_scale, zscore_train,
         mean_ensemble, vote_ensemble, explain, rf_importances,
     )
 }
 QUERIES |= {k: learned(k) for k in ("logreg", "rf", "gbt")}
 
-ORACLES: dict[str, str] = oracles.MEASURES | oracles.EVALUATION | {"flagship": oracles.FLAGSHIP}
+ORACLES: dict[str, str] = oracles.MEASURES | oracles.EVALUATION | {"flagship": oracles.FLAGSHIP, "graph_edges": oracles.EDGES, "best_single": oracles.BEST_SINGLE, "logit_metrics": oracles.LOGITS, "snippet_scores": oracles.SNIPPETS, "three_way": oracles.THREE_WAY}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pairloom.functions.native import CALL, COMMENT, DECLARATION, JAVA_KEYWORDS, SHARED_KEYWORDS, TOKEN
+from pairloom.functions.native import CALL, COMMENT, DECLARATION, JAVA_KEYWORDS, METHOD, METRIC_NAMES, SHARED_KEYWORDS, TOKEN
+from pairloom.functions.text import SPACE
 
 W = r"[\p{L}\p{N}_]"
 
@@ -74,7 +75,14 @@ def doubles(*parts: str) -> str:
     return "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in parts) + "]"
 
 
+def apart(text: str, pattern: str, group: int = 0) -> str:
+    """Matches of a pattern that ends in an opening parenthesis, without a word character before. There is no look-behind: parentheses are doubled, so that the second one can stand before the next match."""
+    return f"regexp_extract_all(replace({text}, '(', '(('), {_q(f'(?:^|[^{W[1:-1]}])' + pattern)}, {group})"
+
+
+_DECLARED = f"len({apart('{c}', DECLARATION)})"
 _LINES = "(length({c}) - length(replace({c}, chr(10), '')) + 1)"
+_METRICS = doubles(_LINES, substrings(JAVA_KEYWORDS), substrings(["for", "while"]), substrings(["if", "else", "switch"]), _DECLARED, depth("{", "}"))
 _PAD = (
     ", r AS (SELECT conv_id, turn, greatest(len(t1), len(t2)) AS n, f1, f2 FROM (SELECT conv_id, turn, f1 AS t1, f2 AS t2, "
     "list_filter(list_transform(range(1, len(f1) + 1), lambda i: CASE WHEN list_position(f1, f1[i]) = i THEN f1[i] END), lambda x: x IS NOT NULL) AS f1, "
@@ -89,13 +97,13 @@ def _padded(f: str) -> str:
 MEASURES = {
     "bow": measure(WORDS, cosine("f1", "f2")),
     "fcall": measure(f"regexp_extract_all({{c}}, {_q(CALL)}, 1)", jaccard("f1", "f2")),
-    "graph": measure("list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')", ratio(f"len(list_filter(range(1, n + 1), lambda i: ({_padded('f1')})[i] = ({_padded('f2')})[i]))", f"len(list_distinct(list_concat({_padded('f1')}, {_padded('f2')})))"), _PAD),
+    "graph": measure("list_filter(regexp_split_to_array({c}, '" + SPACE + "+'), lambda x: x <> '')", ratio(f"len(list_filter(range(1, n + 1), lambda i: ({_padded('f1')})[i] = ({_padded('f2')})[i]))", f"len(list_distinct(list_concat({_padded('f1')}, {_padded('f2')})))"), _PAD),
     "jaccard": measure(
         f"regexp_extract_all(regexp_replace({{c}}, {_q(COMMENT)}, '', 'g'), '{W}+')",
         ratio(*(f"coalesce(list_sum(list_transform(list_distinct(list_concat(f1, f2)), lambda t: {f}({occurrences('f1', 't')}, {occurrences('f2', 't')}))), 0)" for f in ("least", "greatest"))),
     ),
     "lev": measure("regexp_replace({c}, '[^\\x00-\\x7F]', '', 'g')", "CASE WHEN greatest(length(f1), length(f2)) = 0 THEN 0 ELSE 1 - levenshtein(f1, f2) / CAST(greatest(length(f1), length(f2)) AS DOUBLE) END"),
-    "metrics": measure(doubles(_LINES, substrings(JAVA_KEYWORDS), substrings(["for", "while"]), substrings(["if", "else", "switch"]), f"len(regexp_extract_all({{c}}, {_q(DECLARATION)}))", depth("{", "}")), vector_cosine("f1", "f2")),
+    "metrics": measure(_METRICS, vector_cosine("f1", "f2")),
     "ngrams": measure("CASE WHEN length({c}) < 15 THEN [] ELSE list_distinct(list_transform(range(1, length({c}) - 13), lambda i: substr({c}, i, 15))) END", jaccard("f1", "f2")),
     "tdf": measure(
         WORDS,
@@ -178,11 +186,29 @@ EVALUATION = {
     "sample_exact_k": f"WITH {WIDE} SELECT {IDS} FROM w ORDER BY {KEY}, {IDS} LIMIT 500",
     "pair_join": f"WITH {PAIRS} SELECT conv_id, turn, CAST(length(c1) AS BIGINT) AS n1, CAST(length(c2) AS BIGINT) AS n2, label FROM p WHERE c1 <> '' AND c2 <> ''",
     "embedding_cosine": "SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "method_names": f"WITH {PAIRS} SELECT conv_id, turn, CAST(len(regexp_extract_all(c1, '\\bpublic\\b\\s+(?:[\\w<>\\[\\]]+\\s+)+?(\\w+)\\s*\\(', 1)) AS BIGINT) AS n FROM p",
-    "code_metrics": f"WITH {PAIRS}, q AS (SELECT conv_id, turn, " + doubles(_LINES, substrings(JAVA_KEYWORDS)).replace("{c}", "c1") + " AS v FROM p) SELECT conv_id, turn, v[1] AS lines, round(v[2], 6) AS keywords FROM q",
-    "token_graph": f"WITH {PAIRS}, q AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(c1, '\\s+'), lambda x: x <> '') AS t FROM p) SELECT conv_id, turn, CAST(len(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1]))) AS BIGINT) AS edges, CAST(len(list_distinct(t)) AS BIGINT) AS nodes FROM q",
+    "method_names": f"WITH {PAIRS} SELECT conv_id, turn, CAST(len({apart('c1', METHOD, 1)}) AS BIGINT) AS n FROM p",
+    "code_metrics": f"WITH {PAIRS}, q AS (SELECT conv_id, turn, " + _METRICS.replace("{c}", "c1") + " AS v FROM p) SELECT conv_id, turn, " + ", ".join(f"round(v[{i + 1}], 6) AS {n}" for i, n in enumerate(METRIC_NAMES)) + " FROM q",
+    "token_graph": f"WITH {PAIRS}, q AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(c1, '{SPACE}+'), lambda x: x <> '') AS t FROM p) SELECT conv_id, turn, CAST(len(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1]))) AS BIGINT) AS edges, CAST(len(list_distinct(t)) AS BIGINT) AS nodes FROM q",
 }
 
+EDGES = f"WITH {PAIRS}, q AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(c1, '{SPACE}+'), lambda x: x <> '') AS t FROM p), e AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(t)), lambda i: struct_pack(src := t[i], dst := t[i + 1])), recursive := true) FROM q) SELECT DISTINCT conv_id, turn, src, dst FROM e"
+BEST_SINGLE = (
+    f"WITH {WIDE}, x AS (SELECT *, substr({KEY}, 1, 8) < 'b3333333' AS train FROM w), s AS (SELECT 's1' AS measure, s1 AS score, label FROM x WHERE train UNION ALL SELECT 's2', s2, label FROM x WHERE train UNION ALL SELECT 's3', s3, label FROM x WHERE train)"
+    + SWEEP.removeprefix(LONG)
+    + f", {_BEST}, o AS (SELECT measure, threshold FROM b ORDER BY round(f1, 12) DESC, measure LIMIT 1), t AS (SELECT 's1' AS measure, s1 AS score, label FROM x WHERE NOT train UNION ALL SELECT 's2', s2, label FROM x WHERE NOT train UNION ALL SELECT 's3', s3, label FROM x WHERE NOT train), "
+    "k AS (SELECT measure, threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score < threshold AND label = 0) AS tn, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn FROM t JOIN o USING (measure) GROUP BY ALL) "
+    f"SELECT measure, threshold, tp, tn, fp, fn, {ROUNDED} FROM {with_metrics('k')}"
+)
+LOGITS = (
+    f"WITH {WIDE}, s AS (SELECT 'logits' AS measure, CASE WHEN s2 > s1 THEN 1.0 ELSE 0.0 END AS score, label FROM w), c AS (SELECT measure, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score < 0.5 AND label = 0) AS tn, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn FROM s GROUP BY measure) "
+    f"SELECT measure, tp, tn, fp, fn, {ROUNDED} FROM {with_metrics('c')}"
+)
+SNIPPETS = (
+    f"WITH {PAIRS}, " + ", ".join(f"m_{n} AS ({MEASURES[n]})" for n in ("fcall", "graph", "jaccard")) + " SELECT conv_id || '-' || turn AS id1, conv_id || '-' || (turn + 1) AS id2, p.label, m_fcall.score AS fcall, m_graph.score AS graph, m_jaccard.score AS jaccard "
+    "FROM p JOIN m_fcall USING (conv_id, turn) JOIN m_graph USING (conv_id, turn) JOIN m_jaccard USING (conv_id, turn) WHERE c1 <> '' AND c2 <> ''"
+)
+THREE_WAY = f"WITH {WIDE}, x AS (SELECT {IDS}, row_number() OVER (ORDER BY {KEY}, {IDS}) AS place, count(*) OVER () AS n FROM w) SELECT {IDS}, CASE WHEN place <= floor(n * 0.7) THEN 'train' WHEN place <= floor(n * 0.7) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS split FROM x"
+
 FLAGSHIP = (
     f"WITH {PAIRS}, " + ", ".join(f"m_{n} AS ({MEASURES[n]})" for n in ("bow", "jaccard", "ngrams", "winn")) + " SELECT conv_id, turn, p.label, m_bow.score AS bow, m_jaccard.score AS jaccard, m_ngrams.score AS ngrams, m_winn.score AS winn, "
     "round((m_bow.score + m_jaccard.score + m_ngrams.score + m_winn.score) / 4, 4) AS mean FROM p JOIN m_bow USING (conv_id, turn) JOIN m_jaccard USING (conv_id, turn) JOIN m_ngrams USING (conv_id, turn) JOIN m_winn USING (conv_id, turn)"

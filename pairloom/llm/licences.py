@@ -13,7 +13,8 @@ Words and word pairs of the templates are looked up for whole blocks of texts fi
 run of two or more words consists of template pairs, so only such runs are streamed; that loses nothing.
 
 Null and empty texts have no words and score 0. The score is 1 where a base phrase stands, else the best coverage
-of a span.
+of a span. Texts of any length are scanned whole, in time that follows their length. Repeated rows are scanned each, an empty
+table gives an empty result, and columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import id_and_text
+from pairloom.llm.tables import id_and_text, tidied
 from pairloom.llm.words import WORD, buffers, hash_word, row_blocks, words_of
 
 MIN_MATCH, GAP, COVER = 4, 12, 0.6
@@ -185,13 +186,19 @@ class LicenceScanner:
 
     def _chains(self, matches: list[tuple[int, int, int]], whole: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
         """Chains matches, in text order, into covered spans of each template, beside those that stand whole."""
+        # Matches come by rising start, so a chain that ended more than GAP words before can't go on.
         open_: dict[int, list[list[int]]] = {}
+        ended: list[tuple[int, list[int]]] = []
         for start, size, state in matches:
             for k, end in self.automaton.ends[state]:
                 if k >= len(self.labels):
                     continue
                 first = end - size + 1
                 chains = open_.setdefault(k, [])
+                past = [c for c in chains if c[1] < start - GAP]
+                if past:
+                    ended.extend((k, c) for c in past)
+                    chains[:] = [c for c in chains if c[1] >= start - GAP]
                 for chain in reversed(chains):  # text start, text end, template end, covered
                     if 0 <= start - chain[1] <= GAP and 0 <= first - chain[2] <= GAP:
                         chain[1:] = [start + size, end + 1, chain[3] + size]
@@ -199,11 +206,11 @@ class LicenceScanner:
                 else:
                     chains.append([start, start + size, end + 1, size])
         best: dict[tuple[str, int], tuple[int, float]] = {(self.labels[k], start): (start + self.sizes[k], 1.0) for k, start in whole}
-        for k, chains in open_.items():
-            for start, end, _, covered in chains:
-                share = covered / self.sizes[k]
-                if share >= COVER and share > best.get((self.labels[k], start), (0, 0.0))[1]:
-                    best[self.labels[k], start] = (end, share)
+        ended.extend((k, c) for k, chains in open_.items() for c in chains)
+        for k, (start, end, _, covered) in ended:
+            share = covered / self.sizes[k]
+            if share >= COVER and (share, end) > best.get((self.labels[k], start), (0, 0.0))[::-1]:
+                best[self.labels[k], start] = (end, share)
         return sorted((label, start, end, round(share, 6)) for (label, start), (end, share) in best.items())
 
 
@@ -227,7 +234,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
                 spans = [[{"label": x, "start": i, "end": j, "covered": c} for x, i, j, c in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(places, base), pa.array(spans, span)], ["doc_id", "n_words", "base", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, base array<struct<label:string,at:long>>, spans array<struct<label:string,start:long,end:long,covered:double>>")
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, n_words long, base array<struct<label:string,at:long>>, spans array<struct<label:string,start:long,end:long,covered:double>>")
 
 
 def licence_digest(scanned: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.joins import by_keys
-from pairloom.llm.tables import BLANKS, id_and_text, ids_last
+from pairloom.llm.tables import BLANKS, NO_ID, free_names, id_and_text, ids_last
 from pairloom.session import materialize
 
 FAN = 3
@@ -56,7 +56,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     # A run's keys meet the groups first: a group of copies then counts once a run, not once a row.
     per_run = rows.select("run", *_KEY).distinct().join(groups, _KEY)
     own = rows.join(per_run, ["run", *_KEY])
-    keep = F.when(F.col("best.id") == 2**63 - 1, None).otherwise(F.col("best.id"))
+    keep = F.when(F.col("best.id") == NO_ID, None).otherwise(F.col("best.id"))
     return own.select("doc_id", "row", "digest", keep.alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"))
 
 
@@ -64,19 +64,19 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The survivors with all their columns: one row of each group.
 
     Rows that go are found by doc_id and digest; a survivor that is repeated with its doc_id is
-    reduced to one row, which costs a shuffle of such rows alone.
+    reduced to one row, which costs a shuffle of such rows alone. Columns may have any names.
     """
+    id_col, digest, longest, best_row = free_names(docs, "id", "digest", "longest", "best")
     groups = materialize(exact_groups(docs).select("doc_id", "digest", "kept"), "groups")
-    pairs = groups.groupBy(ids_last(F.col("doc_id")).alias("__id"), F.col("digest").alias("__digest")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-    pairs = materialize(pairs.filter("NOT stays OR n > 1"), "goners")
+    pairs = groups.groupBy(ids_last(F.col("doc_id")).alias(id_col), F.col("digest").alias(digest)).agg(F.max("kept").alias("__stays"), F.count("*").alias("__n"))
+    pairs = materialize(pairs.filter("NOT __stays OR __n > 1"), "goners")
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, "")
-    keyed = docs.withColumn("__id", ids_last(F.col("doc_id").cast("long"))).withColumn("__digest", F.sha2(bare.cast("binary"), 256))
-    on = ["__id", "__digest"]
-    rest = by_keys(keyed, pairs.select(*on), on, "left_anti")
-    repeated = pairs.filter("stays AND n > 1").select(*on)
-    if not repeated.isEmpty():
-        longest = F.char_length(F.coalesce("text", F.lit("")))
-        own = by_keys(keyed, repeated, on).withColumn("__longest", longest)
-        best = own.groupBy(*on).agg(F.max_by(F.struct(*docs.columns), "__longest").alias("__best"))
-        rest = rest.select(*docs.columns).union(best.select("__best.*"))
-    return rest.select(*docs.columns)
+    on = [id_col, digest]
+    keyed = docs.withColumn(id_col, ids_last(F.col("doc_id").cast("long"))).withColumn(digest, F.sha2(bare.cast("binary"), 256))
+    rest = by_keys(keyed, pairs.select(*on), on, "left_anti").select(*docs.columns)
+    repeated = pairs.filter("__stays AND __n > 1").select(*on)
+    if repeated.isEmpty():
+        return rest
+    own = by_keys(keyed, repeated, on).withColumn(longest, F.char_length(F.coalesce("text", F.lit(""))))
+    best = own.groupBy(*on).agg(F.max_by(F.struct(*docs.columns), longest).alias(best_row))
+    return rest.union(best.select(f"{best_row}.*"))

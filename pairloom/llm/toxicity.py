@@ -4,7 +4,7 @@ Tokens are runs of letters; a token's features are hashes of itself and of its f
 bytes, which also catch inflected and compounded forms. States are clean (all scores 0) and toxic.
 
 Fitting uses at most `max_docs` labelled documents outside the held-out fold, taken by a
-hash of doc_id, in a part from each class; that bound is the only sample here. Tokens of clean documents are labelled clean. Those of toxic
+hash of doc_id, in a part from each class, of at most FIT_BYTES bytes each (of a repeated doc_id the least text); that bound is the only sample here. Tokens of clean documents are labelled clean. Those of toxic
 documents are labelled at first by association: a token is toxic if one of its features is
 significantly commoner, by documents, in the toxic class. After some epochs on these labels the toxic
 documents' targets become the marginals given that at least one token is toxic, so that the
@@ -12,7 +12,8 @@ document score, 1 - P(all clean), fits the document labels.
 
 Scores come from forward-backward over every token of every text: no prefixes or windows. Null
 and empty texts score 0. With no labels, or one class alone, every score is 0. Repeated labels
-of a document count as toxic if any is; null labels are ignored.
+of a document count as toxic if any is; null labels are ignored. Repeated rows are scored each, rows without a doc_id too; an empty
+table gives an empty result. score ignores columns other than doc_id and text; keep_clean keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,21 +26,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.crf import Adagrad, Chain
-from pairloom.llm.tables import id_and_text
+from pairloom.llm.tables import id_and_text, tidied
 from pairloom.llm.words import IDENTITY, LETTERS, LOWER, Words, buffers, code_points, hash_spans, mix, row_blocks, words_of
 
 BITS = 20
 PREFIXES = (3, 4, 5)
-MAX_DOCS = 4500
+MAX_DOCS, FIT_BYTES = 4500, 65_536
 FOLDS = 5
 #: Steps of the optimiser in each phase, at least.
 MIN_STEPS = 120
+#: Marginal from which a token is an offending span.
+LEAST = 0.5
 #: Score of a toxic token of which nothing is known: rare enough that a text of 100,000 unknown words stays clean.
 PRIOR = -13.0
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    """Whether a document is of the held-out fold; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def letters_of(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -89,7 +93,7 @@ class ToxicModel:
         _, logs = self.chain(features(words), first).forward()
         return -np.expm1(self.clean_log_probability(logs, words.bounds))
 
-    def spans(self, data: np.ndarray, offsets: np.ndarray, least: float = 0.5) -> list[list[tuple[int, int, float]]]:
+    def spans(self, data: np.ndarray, offsets: np.ndarray, least: float = LEAST) -> list[list[tuple[int, int, float]]]:
         """Per text (start, end, marginal) of tokens that are toxic, in code points."""
         words = letters_of(data, offsets)
         out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(offsets) - 1)]
@@ -188,7 +192,7 @@ def fit(texts: list[str], labels: list[int], label_epochs: int = 4, bag_epochs:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], list[int]]:
-    """At most max_docs texts with labels outside the held-out fold; toxic ones are up to a third of them."""
+    """At most max_docs texts of at most FIT_BYTES bytes with labels outside the held-out fold; toxic ones are up to a third of them."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     keyed = known.withColumn("key", F.xxhash64(F.lit("toxicity"), "doc_id"))
     bound = {1: max_docs // 3, 0: max_docs - max_docs // 3}
@@ -197,7 +201,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
         return [], []
     # At most max_docs identifiers: the side that is broadcast doesn't grow with the input.
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
-    found = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    own = id_and_text(docs).filter(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), "doc_id")
+    found = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     return found["text"].tolist(), found["toxic"].tolist()
 
 
@@ -215,13 +220,21 @@ def score(docs: DataFrame, model: ToxicModel, spans: bool = False) -> DataFrame:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for a, b in row_blocks(offsets):
-                out = [batch.column(0).slice(a, b - a), pa.array(own.scores(data, offsets[a : b + 1]))]
+                scores = own.scores(data, offsets[a : b + 1])
+                out = [batch.column(0).slice(a, b - a), pa.array(scores)]
                 if spans:
-                    out.append(pa.array([[{"start": s, "end": e, "p": p} for s, e, p in x] for x in own.spans(data, offsets[a : b + 1])], kind))
+                    found: list = [[] for _ in range(b - a)]
+                    # A token's marginal is at most the document's score, so texts below LEAST have no spans.
+                    some = np.flatnonzero(scores >= LEAST)
+                    if len(some):
+                        texts = batch.column(1).slice(a, b - a).take(pa.array(some))
+                        for i, x in zip(some.tolist(), own.spans(*buffers(texts), LEAST)):
+                            found[i] = [{"start": s, "end": e, "p": p} for s, e, p in x]
+                    out.append(pa.array(found, kind))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "spans"][: len(out)])
 
     schema = "doc_id long, score double" + ", spans array<struct<start:long,end:long,p:double>>" * spans
-    return id_and_text(docs).mapInArrow(run, schema)
+    return id_and_text(docs).mapInArrow(tidied(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFrame:
@@ -235,4 +248,4 @@ def keep_clean(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFr
             for a, b in row_blocks(offsets):
                 yield batch.slice(a, b - a).filter(pa.array(shared.value.scores(data, offsets[a : b + 1]) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

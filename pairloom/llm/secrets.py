@@ -2,21 +2,27 @@ r"""Secret spans by a linear-chain CRF over tokens, beside fixed base patterns (
 
 Tokens are runs of ASCII letters and digits or of bytes over 0x7F. Features, hashed: the token, its shape
 (kinds of characters, length, changes between letters and digits, hexadecimal only), the two
-words before and the one after, the characters between it and the word before, their conjunctions,
-and of the file its length and share of tokens with digits. States: outside, begin, inside.
+words before and the one after, the characters between it and the word before and which of assignment signs and quotes they have, their
+conjunctions, and of the file its length and share of tokens with digits. States: outside, begin, inside.
 
-The field is fitted by the engine itself: at most MAX_DOCS documents, chosen by a hash of doc_id from all
+The field is fitted by the engine itself: at most MAX_DOCS documents of at most FIT_BYTES bytes, chosen by a hash of doc_id from all
 rows, are labelled with the values that the base patterns find; that is the only
-sample. Viterbi decodes every text in which any token could pay for leaving `outside`, which
+sample. So that it learns more than the patterns, VARIANTS lines are made from the sample's own prose: assignments to names that
+no pattern lists, of random keys in several alphabets (secrets), and of look-alikes (outside): words, numbers, dates, versions,
+addresses, identifiers. Viterbi decodes every text in which any token could pay for leaving `outside`, which
 is exact: other texts' best labelling is all outside. Runs of at least MIN_CHARS code points
 that touch no base span are added as kind "crf"; base spans stay.
 
-Null and empty texts have no spans. Where no document of the sample has a secret, only base spans are given.
+Null and empty texts have no spans; texts of any length are scanned whole, in blocks. Repeated rows are scanned each; of a
+repeated doc_id the least text may be in the sample; rows with a null doc_id never are. An empty table gives an empty result, and with an empty
+sample only base spans are given. scan_secrets ignores columns other than doc_id and text; redact keeps all, whatever their names.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.crf import Adagrad, Chain, viterbi
-from pairloom.llm.tables import id_and_text
+from pairloom.llm.tables import id_and_text, tidied
 from pairloom.llm.words import LOWER, WORD, Words, buffers, byte_class, hash_spans, mix, row_blocks, words_of
 
 # The base patterns, on UTF-8 bytes so that case folding stays within ASCII.
@@ -36,13 +42,17 @@ KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 HEX = byte_class((0x30, 0x39), (0x61, 0x66))
+_EQUALS, _COLON, _QUOTE = byte_class((61, 61)), byte_class((58, 58)), byte_class((34, 34), (39, 39))
 _UPPER, _LOWER, _DIGIT, _HIGH = byte_class((65, 90)), byte_class((97, 122)), byte_class((48, 57)), byte_class((128, 255))
 BITS = 18
 MIN_CHARS = 8
-MAX_DOCS = 3000
+MAX_DOCS, FIT_BYTES = 3000, 32_768
+VARIANTS = 2400
 _NEVER = -40.0
 #: Steps of the optimiser, at least.
-MIN_STEPS = 80
+MIN_STEPS = 60
+#: Blocks of variants that follow a block of documents.
+BETWEEN = 4
 
 
 def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, str, int, int]]]:
@@ -102,6 +112,11 @@ def features(words: Words, body: np.ndarray) -> np.ndarray:
     gap_start = np.where(first, words.starts, np.concatenate([[0], words.ends[:-1]]))
     gap = hash_spans(words.data, np.maximum(gap_start, words.starts - 4), words.starts, salt=9) if n else words.hashes
     gap = np.where(words.starts > gap_start, gap, none)
+    signs = np.zeros(n, np.uint64)
+    for bit, kind in enumerate((_EQUALS, _COLON, _QUOTE)):
+        sums = np.concatenate([[0], np.cumsum(kind[body])])
+        signs |= (sums[words.starts] > sums[np.maximum(gap_start, words.starts - 4)]).astype(np.uint64) << np.uint64(bit)
+    joint = np.where(words.starts - gap_start == 1, body[np.minimum(gap_start, len(body) - 1)], 0).astype(np.uint64)
     numeric = np.bincount(rows, weights=digit > 0, minlength=len(words.bounds) - 1) / np.maximum(1, np.diff(words.bounds))
     file = (np.searchsorted([50, 200, 1000, 5000], np.diff(words.bounds)) + 5 * np.searchsorted([0.01, 0.05, 0.2], numeric))[rows].astype(np.uint64)
     shape = shape.astype(np.uint64)
@@ -117,6 +132,8 @@ def features(words: Words, body: np.ndarray) -> np.ndarray:
             mix(mix(shape * gold + np.uint64(6)) + before),
             mix(mix(shape * gold + np.uint64(7)) + gap),
             mix(mix(file * gold + np.uint64(8)) + shape),
+            mix(mix(shape * gold + np.uint64(9)) + signs),
+            mix(joint + np.uint64(10 << 16)),
         ]
     return (np.stack(columns, axis=1) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
@@ -160,36 +177,115 @@ class SecretModel:
         return out
 
 
-def fit(texts: list[str], epochs: int = 8) -> SecretModel:
-    """Labels tokens with the base patterns' values, and maximises their likelihood."""
-    model = SecretModel()
-    data, offsets = buffers(pa.array(texts, pa.large_string()))
-    blocks, hits = [], 0
-    for a, b in row_blocks(offsets, 500_000):
-        part = offsets[a : b + 1]
-        words = words_of(data, part, WORD)
-        if not len(words.starts):
-            continue
-        label = np.zeros(len(words.starts), np.int64)
-        edges = part - part[0]
-        for row, spans in enumerate(base_spans(data, part)):
-            for _, _, end, value in spans:
-                i = int(np.searchsorted(words.ends, edges[row] + value, "right"))
-                j = int(np.searchsorted(words.starts, edges[row] + end, "left"))
-                if j > i and not label[i:j].any():
-                    label[i:j] = 2
-                    label[i] = 1
-        first = np.zeros(len(words.starts), bool)
-        first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
-        hits += int(label.any())
-        blocks.append((features(words, data[int(part[0]) : int(part[-1])]).astype(np.int32), first, label))
-    if not hits:
+def _name(rng: random.Random, words: list[str]) -> str:
+    """A name that no base pattern lists, mostly from the corpus's words."""
+    part = lambda: "".join(c for c in rng.choice(words) if c.isalpha())[: rng.randint(2, 12)] or "k"
+    if rng.random() < 0.3:
+        return "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+    return rng.choice([part, lambda: part() + rng.choice("_-.") + part(), lambda: part().upper(), lambda: part() + part().title()])()
+
+
+def _key(rng: random.Random) -> str:
+    """A random key in one of several alphabets."""
+    draw = lambda alphabet, least, most: "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most)))
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    shapes = (
+        lambda: draw("0123456789abcdef", 16, 64),
+        lambda: draw("0123456789ABCDEF", 16, 64),
+        lambda: draw(low + up + digits, 16, 48),
+        lambda: draw(up + digits, 14, 36),
+        lambda: draw(low + digits, 12, 36),
+        lambda: draw(low, 2, 4) + "_" + draw(low + up + digits, 16, 40),
+        lambda: "-".join(draw(low + digits, 6, 12) for _ in range(rng.randint(2, 4))),
+    )
+    while True:
+        key = rng.choice(shapes)()
+        if sum(c.isdigit() for c in key) >= 2 and any(c.isalpha() for c in key):
+            return key
+
+
+def _look_alike(rng: random.Random, words: list[str]) -> str:
+    """What stands where a key could, but is none."""
+    word = lambda: "".join(c for c in rng.choice(words) if c.isalnum()) or "x"
+    number = lambda n: str(rng.randrange(10 ** (n - 1), 10**n))
+    shapes = (
+        word,
+        word,
+        lambda: word() + rng.choice("_-") + word(),
+        lambda: word().lower() + word().title() + word().title(),
+        lambda: word().upper(),
+        lambda: number(rng.randint(1, 19)),
+        lambda: f"{number(rng.randint(1, 4))}.{number(rng.randint(1, 3))}",
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: f"{word()}.{rng.randrange(99)}@{word()}{rng.randrange(9)}.example.com",
+        lambda: f"/{word()}/{word()}{rng.randrange(99)}.{word()[:3]}",
+        lambda: f"{word()}{rng.randrange(1000)}",
+        lambda: f"v{rng.randrange(9)}.{rng.randrange(20)}",
+        lambda: f"+{number(2)} ({number(3)}) {number(3)}-{number(4)}",
+    )
+    return rng.choice(shapes)()
+
+
+def variants(texts: list[str], n: int = VARIANTS, seed: int = 7) -> list[tuple[str, tuple[int, int]]]:
+    """(line, place of its key in bytes; an empty one for look-alikes), half of each."""
+    rng = random.Random(seed)
+    prose = [w for w in (t[:4000].split() for t in texts) if w]
+    if not prose:
+        return []
+    out = []
+    for i in range(n):
+        words = rng.choice(prose)
+        at = rng.randrange(len(words))
+        left, right = words[max(0, at - rng.randint(0, 15)) : at], words[at : at + rng.randint(0, 15)]
+        quote = rng.choice(["", "", '"', "'"])
+        sign = rng.choice([" = ", "=", ": ", ":", " := ", " => ", '": ' if quote == '"' else " : "])
+        before = " ".join([*left, _name(rng, words) + sign + quote])
+        value = _key(rng) if i % 2 == 0 else _look_alike(rng, words)
+        start = len(before.encode())
+        out.append((" ".join([before + value + quote, *right]), (start, start + len(value.encode()) * (i % 2 == 0))))
+    return out
+
+
+def _labels(words: Words, edges: np.ndarray, places: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Begin (1) and inside (2) of the tokens in each text's places (start, end in bytes)."""
+    label = np.zeros(len(words.starts), np.int64)
+    for row, own in enumerate(places):
+        for start, end in own:
+            i = int(np.searchsorted(words.ends, edges[row] + start, "right"))
+            j = int(np.searchsorted(words.starts, edges[row] + end, "left"))
+            if j > i and not label[i:j].any():
+                label[i:j] = 2
+                label[i] = 1
+    return label
+
+
+def fit(texts: list[str], epochs: int = 8, n_variants: int = VARIANTS) -> SecretModel:
+    """Labels the texts' tokens with the base patterns' values and the variants' with their keys, and maximises their likelihood."""
+    model, parts = SecretModel(), []
+    made = variants(texts, n_variants)
+    for own, places, size in ((texts, None, 500_000), ([t for t, _ in made], [[p] if p[1] > p[0] else [] for _, p in made], 50_000)):
+        data, offsets = buffers(pa.array(own, pa.large_string()))
+        blocks: list = []
+        parts.append(blocks)
+        for a, b in row_blocks(offsets, size):
+            part = offsets[a : b + 1]
+            words = words_of(data, part, WORD)
+            if not len(words.starts):
+                continue
+            found = places[a:b] if places else [[(value, end) for _, _, end, value in x] for x in base_spans(data, part)]
+            first = np.zeros(len(words.starts), bool)
+            first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
+            blocks.append((features(words, data[int(part[0]) : int(part[-1])]).astype(np.int32), first, _labels(words, part - part[0], found)))
+    real, lines = parts
+    if not any(label.any() for _, _, label in real + lines):
         return model
     model.fitted = True
-    optimiser, slow, width = Adagrad(0.3), Adagrad(0.1), 1 << BITS
-    # Few blocks take more rounds, so that small corpora see as many steps.
-    for _ in range(max(epochs, -(-MIN_STEPS // len(blocks)))):
-        for index, first, label in blocks:
+    optimiser, slow, width = Adagrad(0.5), Adagrad(0.1), 1 << BITS
+    # Few blocks take more rounds, so that small corpora see as many steps; blocks of variants come between those of documents.
+    order = [x for k, block in enumerate(real) for x in (block, *(lines[(BETWEEN * k + i) % len(lines)] for i in range(BETWEEN) if lines))]
+    for _ in range(max(epochs, -(-MIN_STEPS // len(real)))):
+        for index, first, label in order:
             index = index.astype(np.int64)
             gamma, pair, _ = Chain(model.emissions(index), first, model.start, model.trans).expectations()
             for k in range(2):
@@ -207,16 +303,16 @@ def fit(texts: list[str], epochs: int = 8) -> SecretModel:
 
 
 def sample_texts(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[str]:
-    """At most max_docs texts, half with a base span where there are as many in all rows."""
-    keyed = id_and_text(docs).filter("doc_id IS NOT NULL").withColumn("key", F.xxhash64(F.lit("secrets"), "doc_id"))
+    """At most max_docs texts of at most FIT_BYTES bytes, half with a base span where there are as many in all rows."""
+    keyed = id_and_text(docs).filter("doc_id IS NOT NULL").filter(F.octet_length("text") <= FIT_BYTES).withColumn("key", F.xxhash64(F.lit("secrets"), "doc_id"))
     pattern = r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{8}"
     flagged = keyed.select("doc_id", "key", F.col("text").rlike(pattern).alias("hit"))
-    chosen = [r.doc_id for r in flagged.filter("hit").orderBy("key").limit(max_docs // 2).collect()] + [r.doc_id for r in keyed.select("doc_id", "key").orderBy("key").limit(max_docs // 2).collect()]
+    chosen = [r.doc_id for r in flagged.filter("hit").orderBy("key", "doc_id").limit(max_docs // 2).collect()] + [r.doc_id for r in keyed.select("doc_id", "key").orderBy("key", "doc_id").limit(max_docs // 2).collect()]
     if not chosen:
         return []
     # At most max_docs identifiers: the side that is broadcast doesn't grow with the input.
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")
-    return keyed.join(F.broadcast(ids), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")["text"].tolist()
+    return keyed.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")["text"].tolist()
 
 
 def train(docs: DataFrame) -> SecretModel:
@@ -253,7 +349,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel) -> DataFrame:
                 found = _spans(shared.value, data, offsets[a : b + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found], kind)], ["doc_id", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def _of_kind(kind: str):
@@ -295,4 +391,4 @@ def redact(docs: DataFrame, model: SecretModel, mask: str = "[SECRET]") -> DataF
                 columns[k] = pa.array(lengths, columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -85,6 +85,14 @@ def semdiff(a: str, b: str) -> float:
     return 1 - (len(added) + len(removed)) / (a.count("\n") + b.count("\n") + 2)
 
 
+def polynomial_hash(token: str, base: int = 101) -> int:
+    """The token's code points as the digits of an unbounded number; tiles compare tokens themselves."""
+    value = 0
+    for c in token:
+        value = value * base + ord(c)
+    return value
+
+
 def common_runs(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, n) of each pair of equal elements, in row order: n is the length of the common run that ends at a[i], b[j]. Memory follows the equal pairs, not the product of the lengths."""
     places: dict = {}

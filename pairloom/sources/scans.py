@@ -73,3 +73,10 @@ def feature_rows(spark: SparkSession, path: str, mode: str = "skip", max_rows: i
 def ranked_lines(frame: DataFrame, *keys: str) -> DataFrame:
     """Numbers rows by a stable order, for splits and samples."""
     return numbered(frame, "rank", *map(F.col, keys))
+
+
+def load_model(path: str):
+    """A fitted pipeline that sinks.save_model wrote."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

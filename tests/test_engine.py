@@ -126,8 +126,6 @@ def test_scans_of_several_files(spark, tmp_path):
 
 
 def test_given_embeddings_and_saved_models(spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
     frame = spark.createDataFrame([("aab", "aab"), ("ab", "ba"), ("a", "b"), (None, "a")], "code1 string, code2 string")
 
     def provider():
@@ -140,7 +138,7 @@ def test_given_embeddings_and_saved_models(spark, tmp_path):
     rows = spark.createDataFrame([(float(i % 2), i % 2 * 0.9, float(i % 2)) for i in range(40)], "a double, b double, label double")
     model = learn.logistic(rows, ["a", "b"])
     sinks.save_model(model, str(tmp_path / "model"))
-    again = PipelineModel.load(str(tmp_path / "model"))
+    again = scans.load_model(str(tmp_path / "model"))
     assert learn.probabilities(again, rows).select("score").collect() == learn.probabilities(model, rows).select("score").collect()
     logits = spark.createDataFrame([([0.1, 0.9],), ([2.0, 2.0],)], "logits array<double>")
     assert [r.y for r in logits.select(learn.argmax_label().alias("y")).collect()] == [1, 0]

@@ -231,6 +231,11 @@ def test_words_of_any_script(spark):
     assert metrics[2].a[4] == 1 and metrics[2].b[4] == 2
 
 
+def test_polynomial_hash():
+    for token in ("", "a", "int", "größe", "😀" * 30):
+        assert sequences.polynomial_hash(token) == sum(ord(c) * 101 ** (len(token) - 1 - i) for i, c in enumerate(token))
+
+
 def test_greedy_tiles_of_long_texts():
     rng = random.Random(5)
     for _ in range(40):

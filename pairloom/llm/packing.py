@@ -11,8 +11,8 @@ Pieces are packed in groups of about GROUP rows dealt out by hash: a group leave
 part-filled sequences, which is a small share of tens of thousands. Only (doc_id, piece,
 length, crc) is moved, never ids. Full pieces are sequences of their own.
 
-Null texts are empty and hold the end id alone. Repeated rows are packed each; an empty table
-gives no sequences. A piece's place is a function of the group's rows, so a task run again agrees.
+Null texts are empty and hold the end id alone. Repeated rows and rows without a doc_id are packed each; an empty table
+gives no sequences; a text of any length is cut into pieces. Columns other than doc_id and text are ignored, whatever their names. A piece's place is a function of the group's rows, so a task run again agrees.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import id_and_text
-from pairloom.llm.tokenizer_files import tokenizers_encoder
+from pairloom.llm.tables import id_and_text, tidied
+from pairloom.llm.tokenizer_files import folds_letters, tokenizers_encoder
 from pairloom.session import materialize
 
 CAPACITY = 2048
@@ -39,19 +39,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizers_encoder(tokenizer_path)
+        encoder, fold = tokenizers_encoder(tokenizer_path), folds_letters(tokenizer_path)
         for batch in batches:
             out = []
-            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode_words(batch.column(1).to_pylist())):
-                own += end
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode_words(batch.column(1).to_pylist(), fold)):
+                own = memoryview(own + end)
                 for k, at in enumerate(range(0, len(own), 4 * capacity)):
                     part = own[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
+                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *[bytes(part)] * ids))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             cols = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
 class SumOfSquares:
@@ -110,7 +110,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields) + ", sequence_id long, offset long"
     # A row number makes equal rows differ, so a repeated document doesn't land in one group.
-    return rows.repartition(n_groups, F.xxhash64("doc_id", "piece", "__row")).mapInArrow(run, schema)
+    return rows.repartition(n_groups, F.xxhash64("doc_id", "piece", "__row")).mapInArrow(tidied(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
-from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+
 from pairloom.llm.wordcache import ChunkEncoder
 
-#: Letters below this code point are their own normal form in every Unicode version, and lower-case one by one.
-_PLAIN = "Ā"
+#: Strings that are encoded in one call.
+CALL = 10_000
 
 
 def public_path(name: str) -> str:
@@ -19,54 +21,65 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 characters stand for themselves, the other bytes follow from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+def batch_encoder(path: str, width: int = 4, specials_as_text: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """A function from strings to little-endian bytes of their ids, by the tokenizers library.
 
+    Short strings are joined by a special token's string, at which the library cuts a text before it
+    normalises or splits it, and encoded in one call; the ids are cut at that token's id again. As in the library's
+    own call with add_special_tokens=False, a special token's string within a text is its id;
+    with specials_as_text it is ordinary text.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-def _model_direct(tok) -> Callable[[str], list[int]] | None:
-    """The library's merge model without its text pipeline, for words of plain letters: such a word (and the space before it) is one piece of the splitter. None where probes show that the pipeline does more."""
-    letters, model, lower = _byte_letters(), tok.model, tok.normalizer is not None
-    space = letters[0x20]
+    tok = Tokenizer.from_file(path)
+    plain = tok if not specials_as_text else Tokenizer.from_file(path)
+    plain.encode_special_tokens = specials_as_text
+    own = [t for t in sorted(tok.get_added_tokens_decoder().items()) if t[1].special and not (t[1].normalized or t[1].lstrip or t[1].rstrip or t[1].single_word)]
+    kind = np.dtype(f"<u{width}")
+    mark = own[0][1].content if own else None
+    mark_id = own[0][0] if own else -1
+
+    def alone(strings: list[str]) -> Iterator[bytes]:
+        for e in plain.encode_batch_fast(strings, add_special_tokens=False):
+            yield np.asarray(e.ids, kind).tobytes()
+
+    def joined(strings: list[str]) -> list[bytes]:
+        (found,) = tok.encode_batch_fast([mark.join(strings)], add_special_tokens=False)
+        ids = np.asarray(found.ids, kind)
+        ends = [*(np.flatnonzero(ids == mark_id) * width).tolist(), len(ids) * width]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(end + width for end in ends)], ends)]
+
+    # Every string of a special token begins with one of these.
+    suspects = sorted({t.content[:1] for _, t in tok.get_added_tokens_decoder().items()})
+
+    def encode_many(strings: list[str]) -> list[bytes]:
+        every = "".join(strings)
+        if mark is None or any(c in every for c in suspects):
+            out: list = [None] * len(strings)
+            apart = [i for i, x in enumerate(strings) if mark is None or any(c in x for c in suspects)]
+            for at in range(0, len(apart), 256):
+                for i, ids in zip(apart[at : at + 256], alone([strings[i] for i in apart[at : at + 256]])):
+                    out[i] = ids
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, ids in zip(rest, encode_many([strings[i] for i in rest]) if rest else ()):
+                out[i] = ids
+            return out
+        return [ids for at in range(0, len(strings), CALL) for ids in joined(strings[at : at + CALL])]
+
+    return encode_many
 
-    def ids(word: str) -> list[int]:
-        if lower:
-            word = word.lower()
-        if word.isascii():  # letters stand for themselves
-            return [t.id for t in model.tokenize(space + word[1:] if word[0] == " " else word)]
-        return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
 
-    probes = ["the", "The", "Haus", "étude", "ÉTUDE", "niñas", "straße", "Überquerung", "zzyzx", "q", "antidisestablishmentarianism"]
-    probes += [f" {w}" for w in probes] if not lower else []
-    same = all(ids(w) == tok.encode(w, add_special_tokens=False).ids for w in probes)
-    return ids if same else None
+@lru_cache(maxsize=4)
+def folds_letters(path: str) -> bool:
+    """Whether the tokenizer takes letters as lower case."""
+    with open(path, encoding="utf-8") as f:
+        normalizer = json.load(f)["normalizer"] or {}
+    return any(x["type"] == "Lowercase" for x in (normalizer, *normalizer.get("normalizers", ())) if x)
 
 
 @lru_cache(maxsize=4)
-def tokenizers_encoder(path: str) -> ChunkEncoder:
-    """A memoising encoder over the tokenizers library; special tokens' strings are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    direct = _model_direct(tok)
-
-    def encode_many(chunks: list[str]):
-        found: list = [None] * len(chunks)
-        rest = []
-        for i, x in enumerate(chunks):
-            word = x[1:] if x[:1] == " " else x
-            if direct and word.isalpha() and (word.isascii() or max(word) < _PLAIN):
-                found[i] = array("I", direct(x)).tobytes()
-            else:
-                rest.append(i)
-        for at in range(0, len(rest), 2048):
-            part = rest[at : at + 2048]
-            for i, e in zip(part, tok.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                found[i] = array("I", e.ids).tobytes()
-        return found
-
-    return ChunkEncoder(encode_many)
+def tokenizers_encoder(path: str, width: int = 4, specials_as_text: bool = False) -> ChunkEncoder:
+    """A memoising encoder over the tokenizers library; ids of width bytes."""
+    return ChunkEncoder(batch_encoder(path, width, specials_as_text))

@@ -1,8 +1,11 @@
-"""Encoding by memoised chunks: exact for tokenizers whose splitter never looks across a chunk's edges.
+r"""Encoding by memoised chunks: exact for tokenizers whose splitter never looks across a chunk's edges.
 
 A corpus repeats its words. Encoding each distinct chunk once and joining the stored ids is
 an order of magnitude cheaper than running the merges over the whole text again, and the
 result is the same as long as each cut is one that the tokenizer's own splitter makes.
+
+For patterns in which white space occurs only as the first character of a piece or in a piece of its own, a piece
+always ends before a run of white space; so a chunk is such a run and the word behind it.
 """
 
 from __future__ import annotations
@@ -10,41 +13,52 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from itertools import chain
+from string import punctuation
 
-#: Two characters of white space in a row; a text without them is cut at every space and line feed.
-_TWO_BLANKS = re.compile(r"\s\s")
-#: A space between two characters that aren't white space.
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A run of white space (none at a text's start) with what follows up to the next; also a last run alone.
+_CHUNK = re.compile(r"[^\S\x1c-\x1f]*(?:[\S\x1c-\x1f]+|\Z)")
+#: White space but space and line feed.
+_ODD = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
+#: Python's split() also cuts at these controls, which Unicode doesn't call white space.
+_NOT_SPACE = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+_BLANK = " \n"
+_WIDE = re.compile("[^\x00-\xff]")
 
 
-def cut_in_lines(text: str) -> list[list[str]]:
-    """Lines of chunks; the line feed between lines and the space before each chunk but a line's first are left out.
+def cut_plainly(text: str) -> list[str] | None:
+    """Chunks of a text whose words stand between single spaces or at most two line feeds; None for other texts.
 
-    For patterns in which a space occurs only as the first character of a piece or inside a
-    run of white space, a piece always ends before a lone space, and a lone line feed is a piece of its own.
+    A chunk's space is left out; one after a line feed keeps that. The text is taken to follow a line feed, so its
+    first chunk begins with one. Of two line feeds before a word each is a piece of its own, as the pattern has it.
     """
-    if text[:1].isspace() or text[-1:].isspace() or _TWO_BLANKS.search(text):
-        return [_LONE_SPACE.split(text)]
-    return [line.split(" ") for line in text.split("\n")]
-
-
-#: Python's split() also cuts at these controls, which Unicode doesn't call white space.
-_NOT_SPACE = re.compile(r"[\x1c-\x1f]")
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+    if text[0] in _BLANK or text[-1] in _BLANK or "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or _ODD.search(text):
+        return None
+    return f"\n{text}".replace("\n", " \n")[1:].split(" ")
 
 
 def words_between_spaces(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _NOT_SPACE.search(text) else text.split()
 
 
-_MARKS = (",", ".")
+def bare_word(chunk: str) -> str:
+    """The chunk without its last ASCII punctuation, where that is surely a piece of its own: after a Latin-1 letter, and with no "<", which may begin a special token. Else the chunk."""
+    word = chunk.rstrip(punctuation)
+    return word if 0 < len(word) < len(chunk) and "<" not in chunk and word[-1] < "\u0100" and word[-1].isalpha() else chunk
+
+
+#: Chunks that a worker keeps, in each of two generations; some 200 bytes each.
+MAX_ENTRIES = 600_000
 
 
 class _Memo:
-    """Two generations of at most n entries each: what was used in the last generation survives the next change."""
+    """Two generations of at most n entries each: what was used in the last generation survives the next change.
+
+    fixed holds chunks that are known from the start and never go.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], lead: str, n: int):
-        self._encode_many, self._lead, self._n = encode_many, lead, n
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], lead: str, n: int, fixed: dict[str, bytes] | None = None):
+        self._encode_many, self._lead, self._n, self._fixed = encode_many, lead, n, fixed
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
@@ -53,50 +67,73 @@ class _Memo:
         """The ids of each chunk of the rows. The large memo is asked once a distinct chunk; the small result stays near the processor."""
         if len(self._young) > self._n:
             self._young, self._old = {}, self._young
-        out = dict.fromkeys(chain.from_iterable(rows))
-        keys = list(out)
-        out = dict(zip(keys, map(self._young.get, keys)))
-        lacking = [x for x, ids in out.items() if ids is None]
-        fresh = {x: ids for x, ids in zip(lacking, map(self._old.get, lacking)) if ids is not None}
-        missing = [x for x in lacking if x not in fresh]
-        # After a letter a last comma or full stop is a piece of its own: such a chunk is its word and that mark.
-        marked = {x: x[:-1] for x in missing if x[-1:] in _MARKS and x[-2:-1].isalpha()}
-        known = {w: self._young.get(w) or self._old.get(w) for w in marked.values()}
-        wanted = [w for w in dict.fromkeys(marked.get(x, x) for x in missing) if not known.get(w)]
-        known.update(zip(wanted, self._encode_many([self._lead + x for x in wanted])))
-        fresh.update((x, known[marked[x]] + self.mark(x[-1]) if x in marked else known[x]) for x in missing)
-        self._young.update(fresh)
-        out.update(fresh)
-        return out
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self._marks:
-            (self._marks[mark],) = self._encode_many([mark])
-        return self._marks[mark]
+        keys = list(set(chain.from_iterable(rows)))
+        values = list(map((self._young if self._fixed is None else self._fixed).get, keys))
+        for known in (self._old,) if self._fixed is None else (self._young, self._old):
+            if known and None in values:
+                for i in [i for i, ids in enumerate(values) if ids is None]:
+                    ids = values[i] = known.get(keys[i])
+                    if ids is not None and known is self._old:
+                        self._young[keys[i]] = ids
+        if None in values:
+            places = [i for i, ids in enumerate(values) if ids is None]
+            fresh = self._encode([keys[i] for i in places])
+            self._young.update(fresh)
+            for i in places:
+                values[i] = fresh[keys[i]]
+        return dict(zip(keys, values))
+
+    def _led(self, chunk: str) -> str:
+        return chunk if chunk[:1] == "\n" else self._lead + chunk
+
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of new chunks, and of the bare words of those that end in marks."""
+        wanted, marked = [], {}
+        for x in chunks:
+            w = x if x[-1].isalpha() else bare_word(x)
+            if w is x:
+                wanted.append(x)
+            else:
+                marked[x] = w
+        known = {}
+        if marked:
+            known = {w: self._young.get(w) or self._old.get(w) for w in set(marked.values())}
+            own = set(wanted)
+            wanted += [w for w, ids in known.items() if ids is None and w not in own]
+            if len(self._marks) > self._n:
+                self._marks.clear()
+            lacking = list({x[len(w) :] for x, w in marked.items()}.difference(self._marks))
+            self._marks.update(zip(lacking, self._encode_many(lacking)))
+        fresh = dict(zip(wanted, self._encode_many([*map(self._led, wanted)] if self._lead else wanted)))
+        for x, w in marked.items():
+            fresh[x] = (known[w] or fresh[w]) + self._marks[x[len(w) :]]
+        return fresh
 
 
 class ChunkEncoder:
     """Chunks to little-endian bytes of their ids, about twice max_entries kept at a time."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], max_entries: int = 400_000):
-        self._first = _Memo(encode_many, "", max_entries // 4)
-        self._later = _Memo(encode_many, " ", max_entries)
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], max_entries: int = MAX_ENTRIES, fixed: dict[str, bytes] | None = None):
+        self._raw = _Memo(encode_many, "", max_entries // 4)
+        self._spaced = _Memo(encode_many, " ", max_entries, fixed)
         self._words = _Memo(encode_many, "", max_entries)
+        (feed,) = encode_many(["\n"])
+        self._feed = len(feed)
 
     def encode_spaced(self, texts: list[str]) -> Iterable[bytes]:
         """For splitters that hang a space to the word after it."""
         for block in blocks_of(texts):
-            cut = [cut_in_lines(t) for t in block]
-            heads = [[line.pop(0) for line in lines] for lines in cut]
-            first, later = self._first.look_up(heads), self._later.look_up(list(chain.from_iterable(cut)))
-            feed = self._first.mark("\n")
-            for own, lines in zip(heads, cut):
-                yield feed.join([first[h] + b"".join(map(later.__getitem__, line)) for h, line in zip(own, lines)])
-
-    def encode_words(self, texts: list[str]) -> Iterable[bytes]:
-        """For splitters that drop white space: words stand alone."""
+            plain = [cut_plainly(t) if t else [] for t in block]
+            known = self._spaced.look_up([c for c in plain if c])
+            other = {i: _CHUNK.findall(block[i])[:-1] for i, c in enumerate(plain) if c is None}
+            raw = self._raw.look_up(list(other.values())) if other else {}
+            for i, c in enumerate(plain):
+                yield b"".join(map(known.__getitem__, c))[self._feed :] if c is not None else b"".join(map(raw.__getitem__, other[i]))
+
+    def encode_words(self, texts: list[str], fold: bool = False) -> Iterable[bytes]:
+        """For splitters that drop white space: words stand alone. With fold, for tokenizers that take letters as lower case: texts of Latin-1, where that is one character for one, are folded first."""
         for block in blocks_of(texts):
-            cut = [words_between_spaces(t) for t in block]
+            cut = [words_between_spaces(t.lower() if fold and not _WIDE.search(t) else t) for t in block]
             known = self._words.look_up(cut)
             for c in cut:
                 yield b"".join(map(known.__getitem__, c))

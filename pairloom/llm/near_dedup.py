@@ -17,12 +17,16 @@ parameter, 85 for the query. Cut derives bands and estimate bound from it.
    threshold, 0.72 for 85 and 0.65 for 80 (or with a set of at most 64, where estimates are
    coarse), are verified on the full sets; texts stream past their centre, and busy centres are salted.
 5. Verified links give components. A bucket that still holds several components is compared in
-   blocks: the members outside its largest component, against all, by sketches; only pairs across
-   components that pass the estimate are verified. So no link between texts of different
-   components is lost to the star, and a component of any size is not compared with itself.
+   tiles: a chunk of the members outside its largest component, against a span of all. Sketches first tell which of a tile's rows
+   take part in a pair that is worth verifying; those come back with their texts, and the tile verifies its pairs on full sets
+   and keeps a union-find of the components that it has joined. So no link between texts of different
+   components is lost to the star, a component of any size is not compared with itself, and a tile gives at
+   most as many rows as it has members.
 
 Null texts are empty. Repeated rows and equal texts are one class. Null doc_ids sort last and
-give a null component_id only where no other id is in reach.
+give a null component_id only where no other id is in reach; then one row of the component is kept. Texts of any length are
+read whole, a block at a time; a chunk's sets are bounded together. An empty table gives an empty result. near_groups ignores columns
+other than doc_id and text; drop_near_copies keeps all, whatever their names.
 """
 
 from __future__ import annotations

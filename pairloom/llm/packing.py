@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.tables import id_and_text, tidied
-from pairloom.llm.tokenizer_files import folds_letters, tokenizers_encoder
+from pairloom.llm.tokenizer_files import TOKENIZERS, folds_letters, tokenizers_encoder
 from pairloom.session import materialize
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             cols = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    return id_and_text(docs).mapInArrow(tidied(run, TOKENIZERS), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
 class SumOfSquares:

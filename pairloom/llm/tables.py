@@ -9,6 +9,7 @@ empty result of the same schema.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -54,15 +55,35 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker gives back the memory it has freed: workers stay for the tasks of other stages."""
+#: What a Python worker keeps between its tasks, by name, with the function that drops it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_in_worker(name: str, drop: Callable[[], None]) -> None:
+    """Told by code that keeps something large in the worker: it goes when the worker turns to a map that doesn't use it."""
+    _KEPT[name] = drop
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, before which the worker drops what other maps keep in it, and after which it gives back the memory it has freed: workers stay for the tasks of other stages."""
 
     @wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [n for n in _KEPT if n != uses]
+        for name in others:
+            _KEPT.pop(name)()
+        if others:
+            gc.collect()
+            _give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        _give_back()
 
     return inner

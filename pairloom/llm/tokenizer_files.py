@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from pairloom.llm.tables import keep_in_worker
 from pairloom.llm.wordcache import ChunkEncoder
 
+TOKENIZERS = "tokenizers"
 #: Strings that are encoded in one call.
 CALL = 10_000
 
@@ -80,6 +82,11 @@ def folds_letters(path: str) -> bool:
 
 
 @lru_cache(maxsize=4)
-def tokenizers_encoder(path: str, width: int = 4, specials_as_text: bool = False) -> ChunkEncoder:
-    """A memoising encoder over the tokenizers library; ids of width bytes."""
+def _kept_encoder(path: str, width: int, specials_as_text: bool) -> ChunkEncoder:
     return ChunkEncoder(batch_encoder(path, width, specials_as_text))
+
+
+def tokenizers_encoder(path: str, width: int = 4, specials_as_text: bool = False) -> ChunkEncoder:
+    """A memoising encoder over the tokenizers library, ids of width bytes; the worker keeps it for maps that use TOKENIZERS."""
+    keep_in_worker(TOKENIZERS, _kept_encoder.cache_clear)
+    return _kept_encoder(path, width, specials_as_text)

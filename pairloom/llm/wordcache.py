@@ -48,7 +48,7 @@ def bare_word(chunk: str) -> str:
 
 
 #: Chunks that a worker keeps, in each of two generations; some 200 bytes each.
-MAX_ENTRIES = 600_000
+MAX_ENTRIES = 250_000
 
 
 class _Memo:

@@ -49,6 +49,8 @@ MIN_CHARS = 8
 MAX_DOCS, FIT_BYTES = 3000, 32_768
 VARIANTS = 2400
 _NEVER = -40.0
+#: Bytes of texts whose tokens and features are held at a time.
+BLOCK_BYTES = 500_000
 #: Steps of the optimiser, at least.
 MIN_STEPS = 60
 #: Blocks of variants that follow a block of documents.
@@ -345,7 +347,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for a, b in row_blocks(offsets):
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
                 found = _spans(shared.value, data, offsets[a : b + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found], kind)], ["doc_id", "spans"])
 
@@ -376,7 +378,7 @@ def redact(docs: DataFrame, model: SecretModel, mask: str = "[SECRET]") -> DataF
             data, offsets = buffers(filled)
             columns = list(batch.columns)
             texts, new = batch.column(at).to_pylist(), []
-            for a, b in row_blocks(offsets):
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
                 for text, spans in zip(texts[a:b], _spans(shared.value, data, offsets[a : b + 1])):
                     parts, last = [], 0
                     for _, start, end in spans:

@@ -33,6 +33,8 @@ BITS = 20
 PREFIXES = (3, 4, 5)
 MAX_DOCS, FIT_BYTES = 4500, 65_536
 FOLDS = 5
+#: Bytes of texts whose tokens and features are held at a time.
+BLOCK_BYTES = 500_000
 #: Steps of the optimiser in each phase, at least.
 MIN_STEPS = 120
 #: Marginal from which a token is an offending span.
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: ToxicModel, spans: bool = False) -> DataFrame:
         own = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for a, b in row_blocks(offsets):
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
                 scores = own.scores(data, offsets[a : b + 1])
                 out = [batch.column(0).slice(a, b - a), pa.array(scores)]
                 if spans:
@@ -245,7 +247,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(at).fill_null(""))
-            for a, b in row_blocks(offsets):
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
                 yield batch.slice(a, b - a).filter(pa.array(shared.value.scores(data, offsets[a : b + 1]) < least))
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -13,8 +13,12 @@ n+1 + U/2^l bits. Every 64th one's position is sampled, so select(i) looks at fe
 2 + l bits a document instead of a 64-bit table. Ids are stored in 2 bytes where the vocabulary allows.
 
 Null texts are empty, an empty document is the end id alone, rows with a null doc_id come last
-(stored as the largest 64-bit integer), repeated ids keep one entry for each row, an empty table
-gives no segments. Segments are bounded by segment_ids, except that a document is never split.
+(stored as the largest 64-bit integer), repeated ids keep one entry for each row in the order of a hash of their token ids, an empty table
+gives no segments. Segments are bounded by segment_ids, except that a document is never split. Columns other than
+doc_id and text are ignored, whatever their names.
+
+Reading keeps the boundaries encoded: a stretch of documents is found by the sample before it, and only its
+bits are decoded and only its ids read.
 """
 
 from __future__ import annotations
@@ -29,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import id_and_text, ids_last
-from pairloom.llm.tokenizer_files import tokenizers_encoder
-from pairloom.session import scratch
+from pairloom.llm.tables import NO_ID, id_and_text, tidied
+from pairloom.llm.tokenizer_files import TOKENIZERS, tokenizers_encoder
+from pairloom.session import materialize, scratch
 
 MAGIC = b"PLEF0001"
 _HEAD = struct.Struct("<8s9Q")
 SAMPLE = 64
-NULL_ID = 2**63 - 1
 
 
 class EliasFano:
@@ -84,13 +87,21 @@ class EliasFano:
         pos = byte * 8 + (word & -word).bit_length() - 1
         return (pos - i) << self.l | self._low(i)
 
-    def all(self) -> np.ndarray:
-        """Every value in order."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.int64) << self.l
-        if self.l and self.n:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.l].reshape(self.n, self.l)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.l, dtype=np.int64))
+    def stretch(self, first: int, end: int) -> np.ndarray:
+        """Values first to end, exclusive: the first is selected by its sample, and the bits from there to the last are read on."""
+        if not 0 <= first <= end <= self.n:
+            raise IndexError((first, end))
+        if first == end:
+            return np.zeros(0, np.int64)
+        block, after = first // SAMPLE, -(-end // SAMPLE)
+        at = int(self.samples[block])
+        stop = int(self.samples[after]) >> 3 if after < len(self.samples) else len(self.high) - 1
+        ones = np.flatnonzero(np.unpackbits(self.high[at >> 3 : stop + 1], bitorder="little")) + (at >> 3 << 3)
+        ones = ones[np.searchsorted(ones, at) :][first - block * SAMPLE :][: end - first]
+        out = (ones - np.arange(first, end)).astype(np.int64) << self.l
+        for k in range(self.l):
+            bit = np.arange(first, end, dtype=np.int64) * self.l + k
+            out |= (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.int64) << k
         return out
 
 
@@ -106,22 +117,36 @@ def segment_bytes(doc_ids: list[int], lengths: list[int], ids: bytes, width: int
 
 
 class Segment:
-    """Reads a segment; ids of a document by select(i) and select(i + 1)."""
+    """A segment in an open file: its boundaries stay encoded in memory, ids are read where they are asked for."""
 
-    def __init__(self, data: bytes | memoryview):
-        magic, self.n, _, universe, low_bits, width, *sizes = _HEAD.unpack_from(data)
+    def __init__(self, file):
+        self._file = file
+        magic, self.n, _, universe, low_bits, self.width, *sizes = _HEAD.unpack(file.read(_HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token segment")
-        at, views = _HEAD.size, []
-        for size in sizes:
-            views.append(np.frombuffer(data, np.uint8, size, at))
-            at += size
-        self.doc_ids = views[0].view("<i8")
-        self.bounds = EliasFano(self.n + 1, universe, low_bits, views[1], views[2], views[3].view("<u4"))
-        self.ids = np.frombuffer(data, f"<u{width}", universe, at)
+        self._doc_ids, at = _HEAD.size, _HEAD.size + sizes[0]
+        file.seek(at)
+        low, high, samples = (np.frombuffer(file.read(size), np.uint8) for size in sizes[1:])
+        self.bounds = EliasFano(self.n + 1, universe, low_bits, low, high, samples.view("<u4"))
+        self._ids = at + sum(sizes[1:])
+
+    def _read(self, at: int, size: int) -> bytes:
+        self._file.seek(at)
+        return self._file.read(size)
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        return np.frombuffer(self._read(self._ids + start * self.width, (end - start) * self.width), f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        """The ids of document i by select(i) and select(i + 1)."""
+        return self.ids(self.bounds.select(i), self.bounds.select(i + 1))
+
+    def stretches(self, documents: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(doc_ids, bounds, ids from the first bound on) of so many documents at a time."""
+        for first in range(0, self.n, documents):
+            end = min(first + documents, self.n)
+            bounds = self.bounds.stretch(first, end + 1)
+            yield np.frombuffer(self._read(self._doc_ids + 8 * first, 8 * (end - first)), "<i8"), bounds, self.ids(int(bounds[0]), int(bounds[-1]))
 
 
 def _filesystem(uri: str):
@@ -130,11 +155,24 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = 1 << 24, id_width: int = 2) -> DataFrame:
+def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_width: int = 2) -> DataFrame:
+    """doc_id, ids (little-endian, end id included) of each row, written to the shared folder: later steps move ids, never texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokenizers_encoder(tokenizer_path, id_width)
+        end = end_id.to_bytes(id_width, "little")
+        for batch in batches:
+            ids = [x + end for x in encoder.encode_spaced(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).fill_null(NO_ID), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return materialize(id_and_text(docs).mapInArrow(tidied(run, TOKENIZERS), "doc_id long, ids binary"), "token-rows")
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = 1 << 22, id_width: int = 2) -> DataFrame:
     """Tokenise documents into segments below folder, in ascending doc_id order.
 
-    Returns the manifest (segment, path, n_docs, n_ids, start): start counts the ids of all
-    segments before. Texts are dealt out by ranges of doc_id, so the segments of one task
+    Returns the manifest (path, n_docs, n_ids, start): start counts the ids of all
+    segments before. Encoded rows are dealt out by ranges of doc_id, so the segments of one task
     follow those of the task before it. A task that is run again writes the same bytes under a
     name of its own and moves them into place.
     """
@@ -147,8 +185,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
-        encoder = tokenizers_encoder(tokenizer_path)
-        end = np.asarray([end_id], dtype=f"<u{id_width}").tobytes()
         k, own, lengths, body, size = 0, [], [], [], 0
 
         def flush():
@@ -160,13 +196,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": [part], "k": [k], "path": [os.path.basename(name)], "n_docs": [len(own)], "n_ids": [size]})
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for doc_id, ids in zip(keys, encoder.encode_spaced(batch.column(1).to_pylist())):
-                if id_width != 4:
-                    ids = np.frombuffer(ids, "<u4").astype(f"<u{id_width}").tobytes()
-                own.append(NULL_ID if doc_id is None else doc_id)
-                body.append(ids + end)
-                lengths.append(len(body[-1]) // id_width)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own.append(doc_id)
+                body.append(ids)
+                lengths.append(len(ids) // id_width)
                 size += lengths[-1]
                 if size >= segment_ids:
                     yield flush()
@@ -174,12 +207,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if own:
             yield flush()
 
-    ordered = id_and_text(docs).repartitionByRange(ids_last(F.col("doc_id"))).sortWithinPartitions(ids_last(F.col("doc_id")))
-    listed = ordered.mapInArrow(store, "part long, k long, path string, n_docs long, n_ids long")
+    # Repeated rows of a doc_id are told apart by their ids, so that a hot doc_id doesn't meet in one range.
+    order = ["doc_id", F.xxhash64("ids"), "ids"]
+    ordered = token_rows(docs, tokenizer_path, end_id, id_width).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    listed = ordered.mapInArrow(tidied(store), "part long, k long, path string, n_docs long, n_ids long")
     listed.write.parquet(f"{folder}/manifest.parquet")
     manifest = spark.read.schema(listed.schema).parquet(f"{folder}/manifest.parquet")
-    before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("path", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    # One row a task is put in order; segments are counted within their task.
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_part"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("n_part").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("k"))), F.lit(0))
+    return manifest.withColumn("within", within).join(offsets, "part").select("path", "n_docs", "n_ids", (F.col("base") + F.col("within")).alias("start"))
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -190,15 +229,15 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with files.open_input_file(f"{root}/{path}") as f:
-                    segment = Segment(f.read())
-                bounds = segment.bounds.all()
-                wide = segment.ids.astype("<u4")
-                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                own = pa.array(segment.doc_ids, mask=segment.doc_ids == NULL_ID)
-                yield pa.RecordBatch.from_arrays([own, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for doc_ids, bounds, ids in Segment(f).stretches():
+                        wide = ids.astype("<u4")
+                        at = bounds - bounds[0]
+                        crcs = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                        own = pa.array(doc_ids, mask=doc_ids == NO_ID)
+                        yield pa.RecordBatch.from_arrays([own, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("path", "start").repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(n, "path").mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> tuple[str, DataFrame]:

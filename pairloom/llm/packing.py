@@ -27,19 +27,20 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.tables import id_and_text, tidied
 from pairloom.llm.tokenizer_files import TOKENIZERS, folds_letters, tokenizers_encoder
+from pairloom.llm.wordcache import MAX_ENTRIES
 from pairloom.session import materialize
 
 CAPACITY = 2048
 GROUP = 100_000
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, ids: bool = False, entries: int = MAX_ENTRIES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian u32, if asked for) of each piece."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, fold = tokenizers_encoder(tokenizer_path), folds_letters(tokenizer_path)
+        encoder, fold = tokenizers_encoder(tokenizer_path, entries=entries), folds_letters(tokenizer_path)
         for batch in batches:
             out = []
             for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode_words(batch.column(1).to_pylist(), fold)):
@@ -113,6 +114,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return rows.repartition(n_groups, F.xxhash64("doc_id", "piece", "__row")).mapInArrow(tidied(run), schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces are written once to the shared folder, counted, and packed."""
-    return pack(materialize(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, entries: int = MAX_ENTRIES) -> DataFrame:
+    """Pieces are written once to the shared folder, counted, and packed. Fewer entries of the encoder's memo take less memory and more time."""
+    return pack(materialize(pieces(docs, tokenizer_path, capacity, entries=entries), "pieces"), capacity)

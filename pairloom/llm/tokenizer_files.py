@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 from pairloom.llm.tables import keep_in_worker
-from pairloom.llm.wordcache import ChunkEncoder
+from pairloom.llm.wordcache import MAX_ENTRIES, ChunkEncoder
 
 TOKENIZERS = "tokenizers"
 #: Strings that are encoded in one call.
@@ -82,11 +82,11 @@ def folds_letters(path: str) -> bool:
 
 
 @lru_cache(maxsize=4)
-def _kept_encoder(path: str, width: int, specials_as_text: bool) -> ChunkEncoder:
-    return ChunkEncoder(batch_encoder(path, width, specials_as_text))
+def _kept_encoder(path: str, width: int, specials_as_text: bool, entries: int) -> ChunkEncoder:
+    return ChunkEncoder(batch_encoder(path, width, specials_as_text), entries)
 
 
-def tokenizers_encoder(path: str, width: int = 4, specials_as_text: bool = False) -> ChunkEncoder:
-    """A memoising encoder over the tokenizers library, ids of width bytes; the worker keeps it for maps that use TOKENIZERS."""
+def tokenizers_encoder(path: str, width: int = 4, specials_as_text: bool = False, entries: int = MAX_ENTRIES) -> ChunkEncoder:
+    """A memoising encoder over the tokenizers library, ids of width bytes, with at most twice so many entries; the worker keeps it for maps that use TOKENIZERS."""
     keep_in_worker(TOKENIZERS, _kept_encoder.cache_clear)
-    return _kept_encoder(path, width, specials_as_text)
+    return _kept_encoder(path, width, specials_as_text, entries)

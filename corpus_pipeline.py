@@ -33,9 +33,13 @@ def redact_secrets(spark, docs, sf_dir):
     return secrets.redact(docs, secrets.train(docs))
 
 
+#: Entries of the packing stage's memo: its workers stand beside a heap that the stages before have filled.
+MEMO = 300_000
+
+
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of at most 2048 tokens with their sequence and offset."""
-    return packing.pack_documents(docs, public_path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), entries=MEMO)
 
 
 STAGES = [

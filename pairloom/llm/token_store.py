@@ -13,7 +13,7 @@ n+1 + U/2^l bits. Every 64th one's position is sampled, so select(i) looks at fe
 2 + l bits a document instead of a 64-bit table. Ids are stored in 2 bytes where the vocabulary allows.
 
 Null texts are empty, an empty document is the end id alone, rows with a null doc_id come last
-(stored as the largest 64-bit integer), repeated ids keep one entry for each row in the order of a hash of their token ids, an empty table
+(stored as the largest 64-bit integer), repeated ids keep one entry for each row in the order of a hash of their texts, an empty table
 gives no segments. Segments are bounded by segment_ids, except that a document is never split. Columns other than
 doc_id and text are ignored, whatever their names.
 
@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import NO_ID, id_and_text, tidied
-from pairloom.llm.tokenizer_files import TOKENIZERS, tokenizers_encoder
-from pairloom.session import materialize, scratch
+from pairloom.llm.tables import NO_ID, id_and_text, ids_last, tidied
+from pairloom.llm.tokenizer_files import TEXTS, text_encoder
+from pairloom.session import scratch
 
 MAGIC = b"PLEF0001"
 _HEAD = struct.Struct("<8s9Q")
@@ -155,25 +155,34 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_width: int = 2) -> DataFrame:
-    """doc_id, ids (little-endian, end id included) of each row, written to the shared folder: later steps move ids, never texts."""
+#: Bytes of text that are encoded at a time; a longer one makes a block of its own.
+BLOCK = 8 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizers_encoder(tokenizer_path, id_width)
-        end = end_id.to_bytes(id_width, "little")
-        for batch in batches:
-            ids = [x + end for x in encoder.encode_spaced(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).fill_null(NO_ID), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return materialize(id_and_text(docs).mapInArrow(tidied(run, TOKENIZERS), "doc_id long, ids binary"), "token-rows")
+def blocks_of(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tuple[list[int], pa.Array]]:
+    """(doc_ids, texts) of several batches with so many bytes of text at most, or of one batch."""
+    held, bytes_held = [], 0
+
+    def joined():
+        return [x for b in held for x in b.column(0).to_pylist()], pa.concat_arrays([b.column(1) for b in held])
+
+    for batch in batches:
+        own = batch.column(1).nbytes
+        if held and bytes_held + own > size:
+            yield joined()
+            held, bytes_held = [], 0
+        held.append(batch)
+        bytes_held += own
+    if held:
+        yield joined()
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = 1 << 22, id_width: int = 2) -> DataFrame:
     """Tokenise documents into segments below folder, in ascending doc_id order.
 
     Returns the manifest (path, n_docs, n_ids, start): start counts the ids of all
-    segments before. Encoded rows are dealt out by ranges of doc_id, so the segments of one task
-    follow those of the task before it. A task that is run again writes the same bytes under a
+    segments before. Rows are dealt out by ranges of doc_id and encoded where they are stored, so the segments of one task
+    follow those of the task before it, and ids lie on disk only there. A task that is run again writes the same bytes under a
     name of its own and moves them into place.
     """
     spark = docs.sparkSession
@@ -195,8 +204,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             files.move(f"{name}.{attempt}", name)
             return pa.RecordBatch.from_pydict({"part": [part], "k": [k], "path": [os.path.basename(name)], "n_docs": [len(own)], "n_ids": [size]})
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        encoder, end = text_encoder(tokenizer_path, id_width), end_id.to_bytes(id_width, "little")
+        for doc_ids, texts in blocks_of(batches):
+            for doc_id, ids in zip(doc_ids, encoder.encode(texts, end)):
                 own.append(doc_id)
                 body.append(ids)
                 lengths.append(len(ids) // id_width)
@@ -207,10 +217,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if own:
             yield flush()
 
-    # Repeated rows of a doc_id are told apart by their ids, so that a hot doc_id doesn't meet in one range.
-    order = ["doc_id", F.xxhash64("ids"), "ids"]
-    ordered = token_rows(docs, tokenizer_path, end_id, id_width).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    listed = ordered.mapInArrow(tidied(store), "part long, k long, path string, n_docs long, n_ids long")
+    # Repeated rows of a doc_id are told apart by their texts, so that a hot doc_id doesn't meet in one range.
+    rows = id_and_text(docs).select(ids_last(F.col("doc_id")).alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    listed = ordered.mapInArrow(tidied(store, TEXTS), "part long, k long, path string, n_docs long, n_ids long")
     listed.write.parquet(f"{folder}/manifest.parquet")
     manifest = spark.read.schema(listed.schema).parquet(f"{folder}/manifest.parquet")
     # One row a task is put in order; segments are counted within their task.

@@ -9,10 +9,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from pairloom.llm.bytelevel import PartEncoder, WholeEncoder
 from pairloom.llm.tables import keep_in_worker
 from pairloom.llm.wordcache import MAX_ENTRIES, ChunkEncoder
 
 TOKENIZERS = "tokenizers"
+TEXTS = "tokenizers, whole texts"
 #: Strings that are encoded in one call.
 CALL = 10_000
 
@@ -90,3 +92,36 @@ def tokenizers_encoder(path: str, width: int = 4, specials_as_text: bool = False
     """A memoising encoder over the tokenizers library, ids of width bytes, with at most twice so many entries; the worker keeps it for maps that use TOKENIZERS."""
     keep_in_worker(TOKENIZERS, _kept_encoder.cache_clear)
     return _kept_encoder(path, width, specials_as_text, entries)
+
+
+def whole_encoder(path: str, width: int) -> Callable[[list[str]], list[bytes]]:
+    """The library's own call for each text; the file is loaded when it is first needed."""
+
+    @lru_cache(maxsize=1)
+    def tokenizer():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def encode_whole(texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, f"<u{width}").tobytes() for e in tokenizer().encode_batch_fast(texts, add_special_tokens=False)]
+
+    return encode_whole
+
+
+@lru_cache(maxsize=4)
+def _kept_text_encoder(path: str, width: int, entries: int) -> PartEncoder | WholeEncoder:
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    splitter = own["pre_tokenizer"] or {}
+    whole = whole_encoder(path, width)
+    if own["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
+        return WholeEncoder(whole)
+    return PartEncoder(batch_encoder(path, width), whole, [t["content"] for t in own["added_tokens"]], entries)
+
+
+def text_encoder(path: str, width: int = 4, entries: int = MAX_ENTRIES) -> PartEncoder | WholeEncoder:
+    """An encoder of Arrow's strings over the tokenizers library, ids of width bytes; the worker keeps it for maps that use TEXTS."""
+    keep_in_worker(TEXTS, _kept_text_encoder.cache_clear)
+    return _kept_text_encoder(path, width, entries)

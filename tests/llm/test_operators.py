@@ -12,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, exact_dedup, html_text, licences, media, near_dedup, packing, queries, secrets, token_store, toxicity
+from pairloom.llm.bytelevel import PartEncoder
 from pairloom.llm.components import components
 from pairloom.llm.crf import Chain, viterbi
-from pairloom.llm.tokenizer_files import public_path, tokenizers_encoder
+from pairloom.llm.tokenizer_files import batch_encoder, public_path, tokenizers_encoder, whole_encoder
 from pairloom.llm.wordcache import ChunkEncoder
 from pairloom.llm.words import buffers
 
@@ -207,6 +208,52 @@ def test_token_files(spark, edge):
     assert token_store.read_tokens(spark, folder, manifest).count() == 0
 
 
+def test_token_store_leaves_one_copy(spark):
+    """Beside the store nothing lies in the shared folder; ids are the library's also where white space comes before an added token's string."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    from pairloom.session import scratch
+
+    tok = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    texts = ["a\n\n<|endoftext|>b", "it's <|endoftext|>", "plain, text. plain text", "", "\n\n"]
+    base = os.path.dirname(scratch(spark, "x").removeprefix("file://"))
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    folder, manifest = token_store.tokenize_to_files(spark.createDataFrame([*enumerate(texts), (None, "a\n\n<|endoftext|>")], SCHEMA), public_path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.ids_crc32 for r in token_store.read_tokens(spark, folder, manifest).collect()}
+    for i, text in [*enumerate(texts), (None, "a\n\n<|endoftext|>")]:
+        assert got[i] == zlib.crc32(np.array(tok.encode(text, add_special_tokens=False).ids + [0], "<u4").tobytes()), text
+    new = {x for x in os.listdir(base) if x not in before and os.path.isdir(f"{base}/{x}") and any(f for _, _, f in os.walk(f"{base}/{x}"))}
+    assert new == {os.path.basename(folder)}
+
+
+def test_text_encoder_equals_the_library(documents):
+    path = public_path("byte_bpe_50k.json")
+    calls = []
+
+    def encode_many(parts, encode=batch_encoder(path, 2)):
+        calls.extend(parts)
+        return encode(parts)
+
+    whole = whole_encoder(path, 2)
+    rng = random.Random(4)
+    odd = ["".join(rng.choice(a) for _ in range(rng.randint(0, 14))) for a in ("ab \n\t'sdrelv1!.\xa0", "  \n\xa0\u3000\u2009 a'\xe9", "a1 .'\x85\u1680\x1c\ufeff\r\n\u6f22\U0001f600\xe9\u0663", "'tdmsrevl .a") for _ in range(2_000)]
+    odd += [f"a{chr(c)}b \n{chr(c)}\n\nx {chr(c)} {chr(c)}'s  {chr(c)}" for c in (*range(0x300), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    odd += ["<|endoftext|>", "a\n\n<|endoftext|>\n\nb", "<|endoftext|", *(t or "" for _, t in EDGE), *documents.values()]
+    for entries in (50, 100_000):
+        encoder = PartEncoder(encode_many, whole, ["<|endoftext|>"], entries)
+        for at in range(0, len(odd), 3_000):
+            texts = odd[at : at + 3_000]
+            assert encoder.encode(pa.array(["apart", *texts])[1:], b"\0\0") == [x + b"\0\0" for x in whole(texts)]
+    assert encoder.encode(pa.array([], pa.string()), b"\0\0") == [] and encoder.encode(pa.array([""]), b"\0\0") == [b"\0\0"]
+    # Marks behind a word make no new part, and what was seen before isn't encoded again.
+    encoder, calls[:] = PartEncoder(encode_many, whole, [], 100), []
+    for _ in range(2):
+        encoder.encode(pa.array(["word, word. word! word", "a word, (word)"]), b"\0\0")
+    assert sorted(calls) == sorted({"word", ",", " word", ".", "!", "a", " (", ")"})
+
+
 def test_byte_bpe_equals_the_library(spark, edge, documents):
     import base64
 

@@ -244,3 +244,29 @@ def test_greedy_tiles_of_long_texts():
             assert sequences.rk(" ".join(a), " ".join(b)) == 2 * tiles(a, b) / len(a + b)
     long = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)) for _ in range(2)]
     assert sequences.rk(*long) > 0  # 80,000 equal pairs of 400,000,000
+
+
+def test_hashing_counts_collisions_and_takes_long_texts():
+    rng = random.Random(8)
+    for _ in range(60):
+        letters = rng.choice(["ab ", "abcdefgh \n", "aé😀 "])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) + rng.choice([" w", ""]) for _ in range(2))
+        b = rng.choice([b, b, a, a[:40] + "q" + a[40:]])
+        mod, want = 1_000_000_007, 0
+        for size in range(10, min(len(a), len(b)) + 1):
+            found = []
+            for x in (a, b):
+                h, power, own = 0, pow(256, size, mod), []
+                for c in x[:size]:
+                    h = (h * 256 + ord(c)) % mod
+                for i in range(len(x) - size + 1):
+                    h = (h * 256 - ord(x[i]) * power + ord(x[i + size - 1])) % mod
+                    own.append(h)
+                found.append(own)
+            known = set(found[0])
+            want += sum(v in known for v in found[1])
+        words = len(set(re.findall(r"\w+", a))) + len(set(re.findall(r"\w+", b)))
+        assert sequences.hashing(a, b) == (want / words if words else 0.0), (a, b)
+    began, texts = time.process_time(), [["".join(rng.choice("etaoin shrdlu") for _ in range(n)) for n in (400, 1200)] for _ in range(40)]
+    assert all(sequences.hashing(a, b) >= 0 for a, b in texts)
+    assert time.process_time() - began < 1.5

@@ -270,3 +270,22 @@ def test_hashing_counts_collisions_and_takes_long_texts():
     began, texts = time.process_time(), [["".join(rng.choice("etaoin shrdlu") for _ in range(n)) for n in (400, 1200)] for _ in range(40)]
     assert all(sequences.hashing(a, b) >= 0 for a, b in texts)
     assert time.process_time() - began < 1.5
+
+
+def test_method_heads_equal_the_pattern_and_take_long_prose():
+    pattern = re.compile(r"(?:[\w<>\[\],.?]+\s+)+(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w,.\s]+)?\{")
+    rng = random.Random(9)
+    parts = ["int foo(int a) {", "public static", "x", "(", ")", "foo(", "bar (a b, c<d>)", "{ }", "throws E {", "throws A,b.c {", "new", "return x(", "}", "List<A> q(A[] r)", ";", "é ", "class X {"]
+    hits = 0
+    for _ in range(5000):
+        code = rng.choice(["", " ", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = [(m[0].split("(")[0], m[1], m[2]) for m in pattern.finditer(code)]
+        assert sequences.method_heads(code) == want, code
+        hits += len(want)
+    assert hits > 500
+    prose = "word and word, " * 20_000
+    began = time.process_time()
+    assert sequences.method_heads(prose + "; int f(int a) { }") == [("int f", "f", "int a")]
+    with pytest.raises(ValueError):
+        sequences.pdg(prose, prose + "f({")
+    assert time.process_time() - began < 5

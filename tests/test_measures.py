@@ -289,3 +289,19 @@ def test_method_heads_equal_the_pattern_and_take_long_prose():
     with pytest.raises(ValueError):
         sequences.pdg(prose, prose + "f({")
     assert time.process_time() - began < 5
+
+
+def test_failures_are_no_results(spark, monkeypatch):
+    frame = spark.createDataFrame([("int x;", "int y;")], "code1 string, code2 string")
+    # A text without a declaration has the definition's 0; no limit stands by default.
+    assert registry.score(frame, ["pdg"]).first().pdg == 0.0
+
+    def broken(a, b):
+        raise RuntimeError("lost pair")
+
+    with pytest.raises(Exception, match="lost pair"):
+        frame.select(registry.arrow_measure(broken)("code1", "code2")).collect()
+    monkeypatch.setitem(sequences.MEASURES, "rk", broken)
+    with pytest.raises(Exception, match="lost pair"):
+        registry.score(frame, ["rk"]).collect()
+    assert registry.score(frame, ["rk"], on_error=-1.0).first().rk == -1.0

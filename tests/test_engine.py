@@ -272,3 +272,10 @@ def test_lev_over_whole_texts(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_oracle_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_no_features_are_dealt_out(spark, sf_dir):
+    """Behind the join only texts have been shuffled: the plan has no stored features."""
+    for name in ("winn", "flagship"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "f_winn" not in plan and "Exchange" in plan

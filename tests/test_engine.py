@@ -279,3 +279,14 @@ def test_no_features_are_dealt_out(spark, sf_dir):
     for name in ("winn", "flagship"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "f_winn" not in plan and "Exchange" in plan
+
+
+def test_robustness_takes_all_native_measures_and_texts(spark, tmp_path):
+    from pairloom.functions import native
+
+    rows = [(0, 0, "user", "int best = 1;\nreturn best;"), (0, 1, "assistant", ""), (1, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.probe: r for r in catalog.robustness(spark, str(tmp_path)).collect()}
+    assert set(got) == set(probes.PROBES) and set(got["renamed"].asDict()) == {"probe", *native.MEASURES}
+    # The text is 26 long and gets 12 before it; empty texts score 0.
+    assert got["commented"].lev == pytest.approx(26 / 38 / 3, abs=1e-6) and got["reordered"].bow == pytest.approx(1 / 3, abs=1e-6)

@@ -290,3 +290,17 @@ def test_robustness_takes_all_native_measures_and_texts(spark, tmp_path):
     assert set(got) == set(probes.PROBES) and set(got["renamed"].asDict()) == {"probe", *native.MEASURES}
     # The text is 26 long and gets 12 before it; empty texts score 0.
     assert got["commented"].lev == pytest.approx(26 / 38 / 3, abs=1e-6) and got["reordered"].bow == pytest.approx(1 / 3, abs=1e-6)
+
+
+def test_counted_rows_fit_as_rows_do(spark, monkeypatch):
+    """Splits read their rows once, and weights give the regression that the rows give."""
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(5) / 4 * 0.6 + y * 0.4, rng.randrange(4) / 3, float(y)) for i in range(600) for y in [int(rng.random() < 0.4)]]
+    frame = spark.createDataFrame(rows, "id int, a double, b double, label double")
+    counted = frame.groupBy("a", "b", "label").agg(F.count("*").alias("n"))
+    plain, weighted = (learn.probabilities(m, counted).select("a", "b", "label", "score").orderBy("a", "b", "label").collect() for m in (learn.logistic(frame, ["a", "b"]), learn.logistic(counted, ["a", "b"], weight="n")))
+    assert len(plain) == len(weighted) and all(p.score == pytest.approx(w.score, abs=1e-5) for p, w in zip(plain, weighted))
+    hashed, key = [], ensemble.split_key
+    monkeypatch.setattr(ensemble, "split_train_test", lambda *a, **k: pytest.fail("a pass over the rows for each split"))
+    monkeypatch.setattr(ensemble, "split_key", lambda *ids, seed=0: hashed.append(seed) or key(*ids, seed=seed))
+    assert evaluate.repeated_splits(frame.withColumn("label", F.col("label").cast("int")), ["id"], ["a", "b"], splits=2).count() == 6 and hashed == [0, 1]
